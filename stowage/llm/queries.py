@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, mixing, pii, quality, secret_scan
+from . import decontaminate, html_extract, language_id, mixing, ngram_join, pii, quality, secret_scan
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs))
@@ -38,8 +42,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_html_extraction, op4_language_id, op5_decontamination, op6_secret_scan, op8_pii, op9_quality, op10_mixing)}
+    return {f.__name__: f for f in (op2_html_extraction, op3_ngram_join, op4_language_id, op5_decontamination, op6_secret_scan, op8_pii, op9_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.SQL, "op10_mixing": mixing.SQL}
+    return {"op3_ngram_join": ngram_join.SQL, "op5_decontamination": decontaminate.SQL, "op10_mixing": mixing.SQL}
