@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, mixing, ngram_join, pii, quality, secret_scan
+from . import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, pii, quality, secret_scan
 from .common import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -42,8 +46,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_html_extraction, op3_ngram_join, op4_language_id, op5_decontamination, op6_secret_scan, op8_pii, op9_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op3_ngram_join, op4_language_id, op5_decontamination, op6_secret_scan, op8_pii, op9_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngram_join.SQL, "op5_decontamination": decontaminate.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_embedding_dedup": embedding_dedup.SQL, "op3_ngram_join": ngram_join.SQL, "op5_decontamination": decontaminate.SQL, "op10_mixing": mixing.SQL}
