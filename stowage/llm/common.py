@@ -55,6 +55,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame, rows: int = 1000, size: str = "8m") -> DataFrame:
+    """The same rows, sent to Python in Arrow batches of at most so many rows and bytes (a longer text is a batch of its own): a session setting, only ever lowered."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 # ------------------------------------------------------------------ hashing
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix."""

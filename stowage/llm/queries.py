@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, pii, quality, secret_scan
+from . import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, pii, quality, secret_scan, substring_dedup
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op3_ngram_join, op4_language_id, op5_decontamination, op6_secret_scan, op8_pii, op9_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_html_extraction, op3_ngram_join, op4_language_id, op5_decontamination, op6_secret_scan, op7_substring_dedup, op8_pii, op9_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
