@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("volumes",)
+MODULES = ("volumes", "naming", "ordering", "times")
 
 
 def _gathered(name: str) -> dict:
