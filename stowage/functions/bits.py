@@ -43,13 +43,13 @@ def compression_info(raw: Column) -> Column:
 def fitted_dictionary(content: Column, cap: Column) -> Column:
     """The least size, 128 KiB doubled, that passes the content, stopped at the cap."""
     sizes = F.array(*[F.lit(DICTIONARY << k).cast("long") for k in range(16)])
-    return F.least(F.coalesce(F.filter(sizes, lambda s: s > content)[0], F.lit(DICTIONARY << 15).cast("long")), cap)
+    return F.least(F.coalesce(F.get(F.filter(sizes, lambda s: s > content), 0), F.lit(DICTIONARY << 15).cast("long")), cap)
 
 
 def dictionary_fields(size: Column) -> Column:
     """power and fraction of the later algorithm's dictionary size: (fraction + 32) * 2**(power + 12); null where it is not encodable."""
     powers = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda p: (size % (F.pow(F.lit(2), p) * 4096).cast("long") == 0) & (size >= (F.pow(F.lit(2), p) * 4096 * 32).cast("long")) & (size <= (F.pow(F.lit(2), p) * 4096 * 63).cast("long")))
-    p = powers[0]
+    p = F.get(powers, 0)
     return F.when(p.isNotNull(), F.struct(p.alias("power"), (F.expr("1L") * (size / (F.pow(F.lit(2), p) * 4096))).cast("int").alias("mantissa")))
 
 

@@ -45,11 +45,12 @@ def t04(spark, folder):
     return blocks(spark, folder).groupBy("archive_id").agg(F.min_by("part", F.struct("size", "part")).alias("chosen"), F.min("size").alias("packed"))
 
 
-@CATALOG.add("t05_early_stop", "WITH last AS (SELECT archive, max(member_index) AS m FROM {members} WHERE member_index % 29 = 3 GROUP BY archive) SELECT x.archive, count(*) AS read_members, sum(unpacked_size)::BIGINT AS bytes FROM {members} x JOIN last ON x.archive = last.archive AND x.member_index <= last.m GROUP BY x.archive")
+@CATALOG.add("t05_early_stop", "WITH last AS (SELECT archive, max(member_index) AS m FROM {members} JOIN (SELECT DISTINCT doc_id FROM labels) ON doc_id = member_index GROUP BY archive) SELECT x.archive, count(*) AS read_members, sum(unpacked_size)::BIGINT AS bytes FROM {members} x JOIN last ON x.archive = last.archive AND x.member_index <= last.m GROUP BY x.archive")
 def t05(spark, folder):
-    """Reading stops after the last requested member of an archive."""
+    """Labelled members are requested; reading stops after the last requested member of an archive."""
     m = members(spark, folder)
-    last = m.where("member_index % 29 = 3").groupBy("archive").agg(F.max("member_index").alias("last"))
+    asked = read(spark, folder, "labels").select(F.col("doc_id").alias("member_index")).distinct()
+    last = m.join(asked, "member_index", "left_semi").groupBy("archive").agg(F.max("member_index").alias("last"))
     return m.join(last, "archive").where("member_index <= last").groupBy("archive").agg(F.count("*").alias("read_members"), F.sum("unpacked_size").alias("bytes"))
 
 

@@ -1,7 +1,7 @@
 """Stand-ins for archives over the driver's tables, and their SQL for an independent engine.
 
 members: a document is a member of the archive named by its source; names repeat on purpose.
-fragments: a conversation is a volume set, a turn a volume; some volumes are missing.
+fragments: a conversation is a volume set, a turn a volume; volume numbers leave gaps.
 blocks: an order is an archive, a line item one of its header blocks.
 """
 
@@ -15,13 +15,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_NUMBER = "turn + CASE WHEN turn > conv_id % 4 THEN 1 + conv_id % 2 ELSE 0 END"
+
+
 def fragments(spark: SparkSession, folder: str) -> DataFrame:
-    """Volumes with (7 * set + volume) mod 5 = 0 are missing, so that sets have gaps."""
-    c = read(spark, folder, "conversations").where("(conv_id * 7 + turn) % 5 <> 0")
-    return c.select(F.col("conv_id").alias("set_id"), F.col("turn").alias("volume"), "role", F.octet_length("text").cast("long").alias("packed_size"))
+    """Every turn is a volume; from a place that depends on the set on, numbers are one or two higher, so that sets have gaps."""
+    c = read(spark, folder, "conversations")
+    return c.select(F.col("conv_id").alias("set_id"), F.expr(_NUMBER).alias("volume"), "role", F.octet_length("text").cast("long").alias("packed_size"))
 
 
-FRAGMENTS = "(SELECT conv_id AS set_id, turn AS volume, role, octet_length(encode(text))::BIGINT AS packed_size FROM conversations WHERE (conv_id * 7 + turn) % 5 <> 0)"
+FRAGMENTS = f"(SELECT conv_id AS set_id, {_NUMBER} AS volume, role, octet_length(encode(text))::BIGINT AS packed_size FROM conversations)"
 
 _MEMBER = {
     "archive": "source",
