@@ -10,13 +10,14 @@ when their Jaccard similarity is at least 0.8 (integers: 100 * i >= 80 * u).
    n - ceil(0.8 n) + 1 shingles), min-hashes and a parity bitmap with about a bit for a shingle.
    Documents with equal sets collapse into one representative.
 3. Representatives with identical prefix and size, or a min-hash in common, meet in groups;
-   each member is compared with its group's leader only. Verified links form classes.
+   each member is compared with its group's leaders only: the least id and the two members with the
+   fewest rare shingles. Verified links form classes.
 4. Prefix postings are kept once for each (shingle, class). Shingles that stay within one class, and so
    whole groups of copies, produce nothing more; the others give pairs of classes, filtered by
    size and position.
-5. Pairs of classes are expanded to their members, filtered by size and by the bitmaps (the parity
-   difference is a lower bound of the symmetric difference, so nothing is lost), and verified on
-   whole sets. All verified links give the components.
+5. Pairs of classes are expanded to their members in a join whose condition tests sizes and bitmaps (the
+   parity difference is a lower bound of the symmetric difference, so nothing is lost), and what
+   passes is verified on whole sets. All verified links give the components.
 
 Verification reads only documents whose id is in a bitmap of fixed size; texts are never shuffled.
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, components, cut, pieces, prefix_hash, span_hash, splitmix, stored, text_bytes, words
+from .common import bounded, byte_table, components, cut, pieces, prefix_hash, span_hash, splitmix, stored, text_bytes, words
 
 SHINGLE = 5
 SKETCH_BITS = 18
@@ -144,6 +145,11 @@ def _difference(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
 
 
+def _unsigned(name: str) -> Column:
+    """A signed long that orders as the unsigned one does."""
+    return F.col(name).bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def filtered(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of representatives that may reach the similarity: by size, then by the bitmaps. No pair that reaches it is lost."""
     own = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
@@ -151,6 +157,25 @@ def filtered(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return p.where(9 * _difference("p_a", "p_b") <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b")
 
 
+def expanded(near: DataFrame, grouped: DataFrame, reps: DataFrame, piece: int = 4096) -> DataFrame:
+    """Pairs (a, b) of members of two near classes that may reach the similarity.
+
+    The smaller class is expanded first; sizes and bitmaps are tested in the condition of the second
+    join, so pairs that fail are never rows. A large class is dealt out in pieces of about `piece` members.
+    """
+    count = grouped.groupBy("class").agg(F.count("*").alias("size"))
+    of = lambda c: count.select(F.col("class").alias(f"class_{c}"), F.col("size").alias(f"size_{c}"))
+    near = near.join(of("x"), "class_x").join(of("y"), "class_y")
+    first = F.col("size_x") <= F.col("size_y")
+    near = near.select(F.when(first, F.col("class_x")).otherwise(F.col("class_y")).alias("small"), F.when(first, F.col("class_y")).otherwise(F.col("class_x")).alias("large"), F.greatest("size_x", "size_y").alias("size"))
+    near = near.withColumn("piece", F.explode(F.expr(f"sequence(0, cast((size - 1) div {piece} as int))")))
+    member = grouped.join(reps.select("doc_id", "parity"), "doc_id").join(count, "class").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.expr(f"(size - 1) div {piece} + 1")).cast("int"))
+    x = near.join(member.select(F.col("class").alias("small"), F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a")), "small")
+    y = member.select(F.col("class").alias("large_y"), F.col("piece").alias("piece_y"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b"))
+    fits = (5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a")) & (9 * _difference("p_a", "p_b") <= F.col("n_a") + F.col("n_b"))
+    return x.join(y, (F.col("large") == F.col("large_y")) & (F.col("piece") == F.col("piece_y")) & fits).select("a", "b")
+
+
 def _id_bits(ids: DataFrame) -> np.ndarray:
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
     rows = ids.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
@@ -200,7 +225,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stored(signatures(docs, frequency_rank(docs)), "ngram-signatures")
     known = docs.where("doc_id is not null")
 
@@ -208,12 +233,16 @@ def classes(docs: DataFrame) -> DataFrame:
     own = sig.where("doc_id is not null and n > 0").select("doc_id", "n", "f1", "f2").groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("s")).select("doc_id", "s.*")
     copies = cut(own.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     member = own.join(copies, ["n", "f1", "f2"]).select("doc_id", "rep")
-    reps = stored(sig.join(copies.select(F.col("rep").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"]).dropDuplicates(["doc_id"]), "ngram-representatives")
+    named = copies.select(F.col("rep").alias("doc_id"), F.col("n").alias("n_"), F.col("f1").alias("f1_"), F.col("f2").alias("f2_"))
+    reps = sig.join(named, "doc_id").where("n = n_ and f1 = f1_ and f2 = f2_").drop("n_", "f1_", "f2_").dropDuplicates(["doc_id"])  # by doc_id alone, so that prefixes are shuffled once
+    reps = stored(reps, "ngram-representatives")
 
     # groups by identical prefix and size, and by each min-hash: members against the leader
-    keys = reps.select("doc_id", F.posexplode("mins").alias("kind", "key")).union(reps.select("doc_id", F.lit(-1).alias("kind"), F.xxhash64("n", "fp").alias("key")))
-    leaders = keys.groupBy("kind", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("size")).where("size > 1")
-    stars = keys.join(leaders, ["kind", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    own_keys = F.concat(F.col("mins"), F.array(F.xxhash64("n", "fp")))
+    keys = reps.select("doc_id", F.element_at("prefix", 1).alias("rarest"), F.element_at("prefix", -1).alias("last"), F.posexplode(own_keys).alias("kind", "key"))
+    leaders = keys.groupBy("kind", "key").agg(F.min("doc_id").alias("b0"), F.max_by("doc_id", _unsigned("rarest")).alias("b1"), F.max_by("doc_id", _unsigned("last")).alias("b2"), F.count("*").alias("size")).where("size > 1")
+    leaders = leaders.select("kind", "key", F.explode(F.array_distinct(F.array("b0", "b1", "b2"))).alias("b"))
+    stars = keys.select("doc_id", "kind", "key").join(leaders, ["kind", "key"]).where("doc_id <> b").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
     first = cut(verified(filtered(stars, reps).select("a", "b"), known, reps))
     group = components(first)
     grouped = cut(reps.select("doc_id", "n").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("class")))
@@ -227,9 +256,7 @@ def classes(docs: DataFrame) -> DataFrame:
     x, y = (posts.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "least", "most", "in_index"))) for s in "xy")
     near = x.join(y, "shingle").where("class_x < class_y and 5 * most_x >= 4 * least_y and 5 * most_y >= 4 * least_x and (in_index_x or in_index_y)")
     near = near.select("class_x", "class_y").distinct()
-    inside = lambda c, d: grouped.select(F.col("class").alias(c), F.col("doc_id").alias(d), F.col("n").alias(f"n_{d}"))
-    pairs = near.join(inside("class_x", "a"), "class_x").join(inside("class_y", "b"), "class_y").where("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").select("a", "b")
-    second = cut(verified(filtered(pairs, reps).select("a", "b"), known, reps))
+    second = cut(verified(expanded(near, grouped, reps), known, reps))
 
     final = components(first.union(second))
     named = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
