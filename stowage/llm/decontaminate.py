@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 WINDOW = 13
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KEEP = bytes(b if b >= 128 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
@@ -99,7 +101,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(size // most_bytes) + 1
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if parts > 1:
         texts = texts.withColumn("row", F.monotonically_increasing_id())
     found = []
@@ -170,7 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep.append(not hit or 20 * len(hit) < n)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return bounded(docs).mapInArrow(clean, docs.schema)
 
 
 def sha256_of(items: list[int]) -> str:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, cut, pieces, prefix_hash, span_hash, stored, text_bytes
+from .common import bounded, byte_table, cut, pieces, prefix_hash, span_hash, stored, text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -200,7 +200,7 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = 2, threshold: f
 
 def find(docs: DataFrame, reach: int = 8, support: int = 2, threshold: float = 0.9, keep: Column | None = None) -> DataFrame:
     """doc_id, row (and what `keep` gives), base, extra: entities and disclosing terms (start, end, strength) of every row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id() if keep is None else keep).alias("row"), "text")
+    own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (F.monotonically_increasing_id() if keep is None else keep).alias("row"), "text")
     found = stored(entities(own, reach), "pii-entities")
     flagged = disclosing(found, docs, support, threshold)
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
@@ -261,7 +261,7 @@ def sanitise(docs: DataFrame, reach: int = 8, support: int = 2, threshold: float
     entities are found again in the text itself.
     """
     row = "row of docs"
-    wide = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+    wide = bounded(docs).withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     found = find(docs.select("doc_id", "text"), reach, support, threshold, keep=F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     extra = found.where(F.size("extra") > 0).select(F.col("row").alias(row), F.col("extra").alias("extra of row")).dropDuplicates([row])
     wide = wide.join(extra, row, "left")

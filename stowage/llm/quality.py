@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, pieces, prefix_hash, span_hash, stored, text_bytes, words
+from .common import bounded, byte_table, pieces, prefix_hash, span_hash, stored, text_bytes, words
 
 #: Kinds of bytes: 0 other ASCII, 1 lower case, 2 upper case, 3 digit, 4 white space, 5 sentence marks, 6 other punctuation, 7 beyond ASCII.
 KIND = np.zeros(256, np.uint8)
@@ -105,7 +105,7 @@ def features(docs: DataFrame) -> DataFrame:
             x = batch_statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), D).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
 @dataclass
