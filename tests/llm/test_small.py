@@ -1,0 +1,315 @@
+"""Corpus operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from stowage.llm import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, pii, quality, secret_scan, substring_dedup
+from stowage.llm.grouping import suffix_array
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, tag string, key string, size string, word string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "r", "t", "k", "s", "w") for i, t, lang, src in rows], DOCS)
+
+
+RNG = random.Random(7)
+WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randrange(2, 8))) for _ in range(300)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+BASE = prose(200, 1)
+ROWS = [
+    (1, BASE, "en", "a"),
+    (2, BASE, "en", "a"),
+    (3, BASE.replace(WORDS[0], "zzz", 1) + " tail", "en", "b"),
+    (4, None, "en", None),
+    (5, "", None, "a"),
+    (6, "one two", "de", "b"),
+    (7, "  ", None, None),
+    (8, prose(30000, 5), "fr", "a"),
+    (9, "one two", "de", "b"),
+    (9, "one two", "de", "b"),
+    (None, "nobody's text", "en", "c"),
+    (11, BASE[:600] + " " + prose(50, 9), "en", "a"),
+]
+
+
+def brute_links(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) if t else []
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(root)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                n = len(sets[a] & sets[b])
+                if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_ngram_join(spark):
+    got = ngram_join.classes(table(spark, ROWS)).collect()
+    assert len(got) == len(ROWS)
+    want = brute_links(ROWS)
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id]
+        else:
+            assert r.component_id is None
+
+
+def test_ngram_near_copies(spark):
+    rows = []
+    for k in range(60):
+        w = BASE.split()
+        r = random.Random(k)
+        for _ in range(r.randrange(0, 6)):
+            w[r.randrange(len(w))] = "edit%d" % r.randrange(1000)
+        rows.append((k, " ".join(w), "en", "a"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(table(spark, rows)).collect()}
+    assert got == brute_links(rows)
+
+
+def test_ngram_keep_first_and_empty(spark):
+    docs = table(spark, ROWS)
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for _, c in brute_links(ROWS).values()})
+    assert ngram_join.classes(table(spark, [])).count() == 0
+
+
+def brute_removed(rows):
+    seen, out = set(), {}
+    for i, t in sorted(((i if i is not None else 1 << 62, t) for i, t, *_ in rows), key=lambda x: x[0]):
+        b = (t or "").encode()
+        mark, new = bytearray(len(b)), set()
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen or w in new:
+                mark[p : p + 100] = b"\1" * 100
+            new.add(w)
+        seen |= new
+        kept = bytes(x for x, m in zip(b, mark, strict=True) if not m)
+        out[i] = (len(b), len(b) - len(kept), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substring_dedup(spark, seed):
+    r = random.Random(seed)
+    pieces = [prose(25, k) for k in range(6)] + ["ab" * 80, "é" * 120, "x" * 250]
+    rows = [(k, " ".join(r.choice(pieces)[r.randrange(3) :] for _ in range(r.randrange(1, 6))) or None, "en", "a") for k in range(40)]
+    rows += [(100, None, "en", "a"), (101, "", "en", "a"), (None, pieces[0], "en", "a")]
+    got = substring_dedup.dedup(table(spark, rows)).collect()
+    want = brute_removed(rows)
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x.n_bytes, x.n_removed, x.kept_sha256) == want[x.doc_id if x.doc_id is not None else 1 << 62], x.doc_id
+    assert substring_dedup.dedup(table(spark, [])).count() == 0
+
+
+def test_substring_hot_core(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    rows = [(k, prose(5, k) + " " + BASE[:300] + " " + prose(5, 100 + k), "en", "a") for k in range(30)]
+    want = brute_removed(rows)
+    for x in substring_dedup.dedup(table(spark, rows)).collect():
+        assert (x.n_bytes, x.n_removed, x.kept_sha256) == want[x.doc_id]
+
+
+def test_suffix_array():
+    r = random.Random(0)
+    for _ in range(500):
+        s = [r.randrange(r.choice([1, 2, 4, 200])) for _ in range(r.randrange(60))]
+        assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_decontaminate(spark):
+    item = prose(40, 77)
+    bench = spark.createDataFrame([(1, item), (2, "Two words"), (3, None), (4, "..."), (1, item), (None, item)], "item_id long, text string")
+    rows = [*ROWS, (20, "x " + item.upper().replace(" ", "--") + " y", "en", "a"), (21, "so two; WORDS here", "en", "a"), (22, prose(1000, 8) + " " + " ".join(item.split()[:13]), "en", "a")]
+    got = {r.doc_id: r for r in decontaminate.verdicts(decontaminate.find_leaks(table(spark, rows), bench)).collect()}
+    assert (got[20].n_words, got[20].n_hit, got[20].n_items, got[20].contaminated) == (42, 40, 1, True)
+    assert got[21].n_hit == 2 and got[21].items_sha256 == hashlib.sha256(b"2").hexdigest()
+    assert got[22].n_hit >= 13 and not got[22].contaminated
+    assert got[4].n_words == 0 and not got[4].contaminated and got[4].items_sha256 == hashlib.sha256(b"").hexdigest()
+    parts = {r.doc_id: r for r in decontaminate.verdicts(decontaminate.find_leaks(table(spark, rows), bench, most_bytes=100)).collect()}
+    assert all(tuple(parts[k]) == tuple(got[k]) for k in got)
+    spans = {r.doc_id: r.spans for r in decontaminate.find_leaks(table(spark, rows), bench).collect()}
+    assert [(s.start, s.end) for s in spans[21]] == [(3, 13)]
+    kept = decontaminate.decontaminate(table(spark, rows), bench)
+    assert sorted(r.doc_id for r in kept.where("doc_id >= 20").collect()) == [22]
+    assert decontaminate.decontaminate(table(spark, []), bench).count() == 0
+
+
+BASE_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_pii(text):
+    out = []
+    for kind, p in BASE_PII.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub(r"\D", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(d) <= 19 and pii.luhn(d)):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), kind, m.end()))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[1])))
+
+
+def test_pii_base():
+    r = random.Random(4)
+    bits = ["a.b@c-d.com", "@", "x@y", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+12", "é", " ", ".", "a@b.c@d.e", "+", "12345678901234567890123", "x@y.z.", "%@a.b"]
+    for _ in range(400):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(8)))
+        assert pii.base_spans(text) == brute_pii(text), text
+    assert pii.base_spans(None) == [] and pii.base_spans("") == []
+
+
+def test_pii_terms_and_text(spark):
+    rows = [(k, f"some common words here Zorblax met john.doe@mail.com for lunch {k}", "en", "a") for k in range(4)]
+    rows += [(10 + k, "some common words here for lunch", "en", "a") for k in range(40)] + [(60, None, None, None), (61, "", None, None)]
+    docs = table(spark, rows)
+    got = {r.doc_id: r for r in pii.digest(pii.find(docs)).collect()}
+    assert len(got) == len(rows)
+    assert got[0].n_email == 1 and got[0].n_term >= 1 and "term:23:30" in got[0].spans
+    assert got[10].spans == "" and got[60].spans == "" and got[60].base_sha256 == hashlib.sha256(b"").hexdigest()
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "john.doe" not in out[0] and "Zorblax" not in out[0] and "[EMAIL]" in out[0]
+    assert out[10] == "some common words here for lunch" and out[60] is None and out[61] == ""
+    assert pii.digest(pii.find(table(spark, []))).count() == 0
+    assert pii.sanitise(docs).columns == docs.columns
+
+
+BASE_SECRET = {"assign": r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+
+
+def brute_secrets(text):
+    out = []
+    for kind, p in BASE_SECRET.items():
+        for m in re.finditer(p, text or "", re.I | re.A if kind == "assign" else 0):
+            n = len(m[2]) if kind == "assign" else m.end() - m.start()
+            if n >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out, key=lambda s: (s[0], secret_scan.KINDS.index(s[1])))
+
+
+def test_secrets(spark):
+    r = random.Random(5)
+    bits = ["password", "PassWd", "toKen", "secret", "api_key", "APIKEY", '"', "'", " ", "=", ":", "abcdef", "x1/y+z=", "AKIA", "ABCDEFGH1234567890", "0123456789abcdef", "deadbeefdeadbeef", "é", "\n"]
+    for _ in range(600):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(10)))
+        assert secret_scan.spans_of(text)[0] == brute_secrets(text), text
+    code = 'part = "aB3dE5fG7hJ9kL1m"\ndb_password = part\nname = "just a plain sentence here"\nclient_secret: \'q8W7e6R5t4Y3\'\nmax_tokens = 123456789\n'
+    found = [code[a:b] for a, k, b in secret_scan.spans_of(code)[1] if k == "literal"]
+    assert "aB3dE5fG7hJ9kL1m" in found and "q8W7e6R5t4Y3" in found and len(found) == 2
+    rows = [(1, code, "en", "a"), (2, None, None, None), (3, "", None, None)]
+    got = {x.doc_id: x for x in secret_scan.scan(table(spark, rows)).collect()}
+    assert got[2].spans == "" and got[1].n_literal == 2
+    assert secret_scan.scan(table(spark, [])).count() == 0
+
+
+def test_html(spark):
+    page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies, ok?</div><article><h1>Title &amp; more</h1><p>First   paragraph,\n with a long enough text, and commas, to count.<p>Second <b>bold</b> one,<br>also long enough to be a paragraph.<form>Sign up</form></article><aside>Side</aside><div id=comments><p>Nice post, I liked it very much, thanks a lot for it!</p></div><footer>&copy; me</footer></body></html>"
+    assert html_extract.main_text(page) == "Title & more\nFirst paragraph, with a long enough text, and commas, to count.\nSecond bold one, also long enough to be a paragraph."
+    assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
+    divs = "<div class=menu><a href=1>a</a></div><div id=content><div><p>" + "words and, more words, " * 10 + "</p><p>" + "again, words " * 10 + "</p></div></div><div class='related widget'><a href=2>more</a></div>"
+    assert html_extract.main_text(divs).count("\n") == 1
+    assert html_extract.main_text("<div>" * 5000 + "deep text, deep enough to be found here" + "</b>" * 5000).startswith("deep text")
+    assert html_extract.main_text("a < b and <3 & &am") == "a < b and <3 & &am"
+    pages = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_extract.extract(pages).collect()}
+    assert got[2].text == "" and got[1].n_chars == len(got[1].text)
+
+
+def test_mixing(spark):
+    rows = [(k, prose(k % 50, k), "en", "abcd"[k % 4] if k % 9 else None) for k in range(400)] + [(1000, None, None, "e"), (None, "x y", None, "a"), (5, prose(5, 5), "en", "b")]
+    got = mixing.mix(table(spark, rows), block=16).collect()
+    assert len(got) == len(rows)
+    total = {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        total.setdefault((r.source_size, r.target), 0)
+        total[r.source_size, r.target] += r.taken
+    for (size, target), taken in total.items():
+        assert taken == int(target) and target <= 3 * size
+    again = mixing.mix(table(spark, rows), block=16).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.mix(table(spark, [])).count() == 0
+    slots = mixing.schedule(mixing.source_targets(mixing.sizes(table(spark, rows))), 16)
+    assert slots.select("slot").distinct().count() == slots.count()
+
+
+def test_language(spark):
+    rows = [(k, " ".join(random.Random(k).choice({"en": ["the", "with", "house"], "de": ["und", "straße", "für"]}[lang]) for _ in range(20)), lang, "a") for k in range(200) for lang in [["en", "de"][k % 2]]]
+    rows += [(500, None, "en", "a"), (501, "123 !!", "en", "a"), (502, "und für", None, None)]
+    docs = table(spark, rows)
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    assert all(got[k].lang_pred == ["en", "de"][k % 2] and 0 <= got[k].score <= 1 for k in range(200))
+    assert got[500].lang_pred == got[501].lang_pred == "und" and got[502].lang_pred == "de"
+    assert got[3].held_out == (zlib.crc32(b"3") % 4 == 2)
+    none = table(spark, [(1, "words", None, None)])
+    assert language_id.predict(none, language_id.train(none)).first().lang_pred == "und"
+
+
+def test_quality(spark):
+    rows = [(k, prose(60, k) if k % 3 else "BUY!!! NOW!!! " * 20, "en", "a") for k in range(300)] + [(400, None, None, None), (401, "", None, None)]
+    labels = spark.createDataFrame([(k, 1 if k % 3 else 0, 0) for k in range(300)] + [(None, 1, 0), (5, None, 0), (6, 7, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score(table(spark, rows), labels).collect()}
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got.values())
+    assert sum(got[k].predicted == (1 if k % 3 else 0) for k in range(300)) >= 295
+    assert got[1].held_out == (zlib.crc32(b"1") % 3 == 1)
+    docs = table(spark, rows)
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    only = labels.where("quality = 1")
+    assert 0.9 < quality.score(docs, only).first().score < 1
+
+
+def test_embeddings(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((30, 16))
+    x = [b + 0.25 * rng.standard_normal(16) for b in base for _ in range(4)]
+    rows = [(k, [float(v) for v in np.float32(e)], 0) for k, e in enumerate(x)]
+    rows += [(200, None, 0), (201, [], 0), (202, [0.0] * 16, 0), (203, [float("nan")] + [1.0] * 15, 0), (204, [None] + [1.0] * 15, 0), (205, rows[7][1], 0), (205, rows[7][1], 0), (206, [2 * v for v in rows[7][1]], 0), (207, [1.0, 2.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    ok = {i: np.array(e, np.float64) for i, e, _ in rows if e and None not in e and np.isfinite(e).all() and any(e)}
+    ok = {i: e / np.linalg.norm(e) for i, e in ok.items()}
+    links = {i: {j for j in ok if j != i and len(ok[j]) == len(e) and ok[j] @ e >= 0.9} for i, e in ok.items()}
+    for i in got:
+        todo, comp = [i], {i}
+        while todo:
+            for j in links.get(todo.pop(), ()):
+                if j not in comp:
+                    comp.add(j)
+                    todo.append(j)
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links.get(i, ())), min(comp), i == min(comp)), i
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
