@@ -14,8 +14,7 @@ SAMPLE, SAMPLE_ALIGN, EDGE = 128 * 1024, 12, 64
 
 def byte_values(data: Column) -> Column:
     """The bytes of a binary column as an array of numbers 0 to 255."""
-    h = F.hex(data)
-    return F.when(F.length(data) > 0, F.transform(F.sequence(F.lit(0), F.length(data) - 1), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)")), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def little_endian(values: Column) -> Column:

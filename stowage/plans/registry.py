@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("volumes", "naming", "ordering", "times", "arithmetic", "listing", "joins", "aggregates", "sets", "rewrite")
+MODULES = ("volumes", "naming", "ordering", "times", "arithmetic", "listing", "joins", "aggregates", "sets", "rewrite", "payloads")
 
 
 def _gathered(name: str) -> dict:
