@@ -9,9 +9,10 @@ the corpus is first reduced, without losing a match, to short strings that need
 2. One scan counts (anchor, context). A context whose content occurs before is removed whole;
    an anchor with one content only needs nothing more. Copies are combined in the tasks.
 3. The first context of each content, where its anchor has several, is cut into runs of at most 16
-   windows, which share a core of 85 bytes. A core that occurs once has no match. A run becomes the
+   windows, which share a core of 85 bytes. A core that occurs once has no match; of equal runs all
+   but the earliest are removed whole. Where a core has different runs, each becomes the
    string (up to 15 bytes, core as one symbol, up to 15 bytes), in which a window is 16 symbols.
-4. The runs of many cores are joined end to end, their suffix array is built by grouping (see
+4. These strings of many cores are joined end to end, their suffix array is built by grouping (see
    grouping.py), and neighbours that share 16 symbols form the groups of equal windows; all but the
    earliest of each are removed.
    A core shared by very many runs would put them in one task; its windows are counted one by one
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _POWERS, bounded, byte_table, cut, prefix_hash, span_hash, splitmix, stored, text_bytes
+from .common import _POWERS, bounded, byte_table, prefix_hash, span_hash, splitmix, stored, text_bytes
 from .grouping import suffix_array
 
 LENGTH, PIECE, RUN = 100, 20, 16
@@ -117,62 +118,73 @@ def context_counts(texts: DataFrame) -> DataFrame:
     return every.join(several, "anchor").select("anchor", "content", "doc", "n", "contents")
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2**BITS bits over a hash of (anchor, content)."""
-    bit = _bit()
-    rows = keys.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def _bits(bit: Column, keys: DataFrame) -> np.ndarray:
+    """A bitmap of 2**BITS bits with the low bits of a hash."""
+    low = bit.bitwiseAND((1 << BITS) - 1)
+    rows = keys.select(F.shiftright(low, 15).alias("part"), low.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     found = np.zeros((1 << BITS) // 8, np.uint8)
     for r in rows.toLocalIterator():  # at most 2**BITS bits
         found[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return found
 
 
-def _bit():
-    return F.col("anchor").bitwiseXOR(F.col("content")).bitwiseAND((1 << BITS) - 1)
+def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    k = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
 
 
-def _hit(bits: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    k = ((h ^ c) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    return (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+def _again(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether a pair stood earlier in the arrays."""
+    order = np.lexsort((np.arange(len(x)), y, x))
+    out = np.zeros(len(x), bool)
+    out[order[1:]] = (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
+    return out
+
+
+_SCHEMA = "kind int, key long, content long, doc long, tag long, again boolean, first int, last int, string binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("again", pa.bool_()), ("first", pa.int32()), ("last", pa.int32()), ("string", pa.binary())])
 
 
-_SCHEMA = "kind int, anchor long, content long, doc long, tag long, first int, last int, core long, string binary"
-_ARROW = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("core", pa.int64()), ("string", pa.binary())])
+def _runs(p: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts (anchor place, first and last window) cut into runs: (core place, first, last, core hash, run hash)."""
+    j0, j1 = (p - b) // RUN, (p - a) // RUN
+    n = j1 - j0 + 1
+    own = np.repeat(np.arange(len(p)), n)
+    j = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + j0[own]
+    base = p[own] - RUN * j  # the core is data[base : base + LENGTH - RUN + 1]
+    w0, w1 = np.maximum(a[own], base - RUN + 1), np.minimum(b[own], base)
+    return base, w0, w1, span_hash(s, base, base + LENGTH - RUN + 1), span_hash(s, w0, w1 + LENGTH)
 
 
 def occurrences(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """kind 0: contexts that may repeat (anchor, content, doc, tag, first and last window); kind 1: runs of windows of contexts whose anchor has several contents (core and string as well)."""
+    """kind 0: contexts that may repeat (key: anchor); kind 1: runs of windows of the first contexts whose anchor has several contents (key: core), with their strings. again: equal to an earlier one of the same text."""
     spark = texts.sparkSession
-    repeated = spark.sparkContext.broadcast(_bits(counts.where("n > 1").select("anchor", "content")))
-    mixed = spark.sparkContext.broadcast(_bits(counts.where("contents > 1").select("anchor", "content")))
+    both = F.col("anchor").bitwiseXOR(F.col("content"))
+    repeated = spark.sparkContext.broadcast(_bits(both, counts.where("n > 1")))
+    mixed = spark.sparkContext.broadcast(_bits(both.bitwiseXOR(F.col("doc")), counts.where("contents > 1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole: list[tuple] = []
-            rows: list[tuple] = []
+            held: list[tuple] = []
+            strings: list[bytes | None] = []
             for doc, tag, data in _texts(batch):
                 if (found := contexts(data)) is None:
                     continue
                 p, a, b, h, c, s = found
-                if len(k := np.flatnonzero(_hit(repeated.value, h, c))):
-                    whole.append((h[k].view(np.int64), c[k].view(np.int64), np.full(len(k), doc), np.full(len(k), tag), a[k].astype(np.int32), b[k].astype(np.int32)))
-                raw = None
-                for k in np.flatnonzero(_hit(mixed.value, h, c)).tolist():
-                    raw = data.tobytes() if raw is None else raw
-                    place, lo, hi = int(p[k]), int(a[k]), int(b[k])
-                    name = (1, int(h[k].view(np.int64)), int(c[k].view(np.int64)), doc, tag)
-                    for j in range((place - hi) // RUN, (place - lo) // RUN + 1):
-                        base = place - RUN * j  # the core is data[base : base + LENGTH - RUN + 1]
-                        end = base + LENGTH - RUN + 1
-                        w0, w1 = max(lo, base - RUN + 1), min(hi, base)
-                        core = int(span_hash(s, np.array([base]), np.array([end]))[0].view(np.int64))
-                        rows.append((*name, w0, w1, core, bytes([base - w0]) + raw[w0:base] + raw[end : w1 + LENGTH]))
-            if whole:
-                columns = [np.concatenate(x) for x in zip(*whole, strict=True)]
-                n = len(columns[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *map(pa.array, columns), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_ARROW)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                k = np.flatnonzero(_hit(repeated.value, h ^ c))
+                if len(k):
+                    held.append((np.zeros(len(k), np.int32), h[k], c[k], np.full(len(k), doc), np.full(len(k), tag), _again(h[k], c[k]), a[k], b[k]))
+                    strings += [None] * len(k)
+                k = np.flatnonzero(_hit(mixed.value, h ^ c ^ np.uint64(doc & (2**64 - 1))))
+                if len(k):
+                    base, w0, w1, core, whole = _runs(p[k], a[k], b[k], s)
+                    n = len(base)
+                    held.append((np.ones(n, np.int32), core, whole, np.full(n, doc), np.full(n, tag), _again(core, whole), w0, w1))
+                    raw, skip = data.tobytes(), LENGTH - RUN + 1
+                    strings += [bytes((x - i,)) + raw[i:x] + raw[x + skip : j + LENGTH] for x, i, j in zip(base.tolist(), w0.tolist(), w1.tolist(), strict=True)]
+            if held:
+                kind, key, content, doc, tag, again, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(again), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(strings, pa.binary())], schema=_ARROW)
 
     return texts.mapInArrow(run, _SCHEMA)
 
@@ -210,9 +222,13 @@ def equal_windows(runs: list[tuple[int, bytes]]) -> list[np.ndarray]:
 
 
 def repeated_windows(runs: DataFrame) -> DataFrame:
-    """doc, tag, first, last: windows of runs (core, doc, tag, first, string) that also start earlier."""
-    several = cut(runs.groupBy("core").agg(F.count("*").alias("held")).where("held > 1"))
-    runs = runs.select("core", "doc", "tag", "first", "string").join(several, "core")
+    """doc, tag, first, last: windows of runs (key, content, doc, tag, again, first, last, string) that also start earlier."""
+    equal = runs.groupBy("key", "content").agg(F.min("doc").alias("least"))
+    cores = runs.groupBy("key").agg(F.count("*").alias("held"), F.count_distinct("content").alias("kinds")).where("held > 1")
+    runs = runs.join(cores, "key").join(equal, ["key", "content"])
+    runs = stored(runs, "substring-runs")
+    whole = runs.where("doc > least or again").select("doc", "tag", "first", "last")
+    runs = runs.where("kinds > 1 and doc = least and not again").select(F.col("key").alias("core"), "doc", "tag", "first", "string", F.col("kinds").alias("held"))
 
     def resolve(held: list[tuple]) -> pa.RecordBatch:
         """held: (core, doc, tag, first, string), whole cores."""
@@ -258,20 +274,17 @@ def repeated_windows(runs: DataFrame) -> DataFrame:
     again = many.join(least, "key")
     stays = again.where("doc = least").groupBy("key", "tag").agg(F.min("at").alias("stays"))
     again = again.join(stays, ["key", "tag"], "left").where("doc <> least or at <> stays")
-    return found.union(again.select("doc", "tag", "at", F.col("at").alias("last")))
+    return whole.union(found).union(again.select("doc", "tag", "at", F.col("at").alias("last")))
 
 
 def removed_ranges(texts: DataFrame) -> DataFrame:
     """doc_id, tag, ranges (first and last windows to remove) of texts (doc_id, tag, text) that lose any; the tag tells rows of one doc_id with different texts apart."""
     counts = stored(context_counts(texts), "substring-counts")
     found = stored(occurrences(texts, counts), "substring-occurrences")
-    whole = found.where("kind = 0").select("anchor", "content", "doc", "tag", "first", "last")
-    whole = whole.join(counts.where("n > 1").select("anchor", "content", F.col("doc").alias("least")), ["anchor", "content"])
-    stays = whole.where("doc = least").groupBy("anchor", "content", "tag").agg(F.min("first").alias("stays"))
-    whole = whole.join(stays, ["anchor", "content", "tag"], "left").where("doc <> least or first <> stays").select("doc", "tag", "first", "last")
-    firsts = counts.where("contents > 1").select("anchor", "content", F.col("doc").alias("least"))
-    runs = found.where("kind = 1").join(firsts, ["anchor", "content"]).where("doc = least")
-    ranges = whole.union(repeated_windows(runs.select("core", "doc", "tag", "first", "string")))
+    least = counts.where("n > 1").select(F.col("anchor").alias("key"), "content", F.col("doc").alias("least"))
+    whole = found.where("kind = 0").select("key", "content", "doc", "tag", "again", "first", "last").join(least, ["key", "content"])
+    whole = whole.where("doc > least or again").select("doc", "tag", "first", "last")
+    ranges = whole.union(repeated_windows(found.where("kind = 1").drop("kind")))
     return ranges.groupBy(F.col("doc").alias("doc_id"), "tag").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"))  # of one document
 
 
