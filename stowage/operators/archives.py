@@ -190,3 +190,106 @@ def s25(spark, folder):
         return pd.DataFrame({"data_count": [r["data_count"] for r in rows], "parity_count": [r["parity_count"] for r in rows], "ok": [r["ok"] for r in rows]})
 
     return read(spark, folder, "supplier").select(F.col("s_suppkey").alias("number"), trip("s_suppkey", "s_name").alias("x")).select("number", "x.*")
+
+
+@CATALOG.add("c06_compressed_round_trip", "SELECT page_id, sha256(html) AS digest FROM pages")
+def c06(spark, folder):
+    """Pages packed with literals and matches and decoded again, block by block."""
+    from ..functions import lz50
+
+    trip = binary_kernel(lambda b: lz50.Decoder().decode(lz50.encode(b), len(b)))
+    return read(spark, folder, "pages").select("page_id", F.sha2(trip(F.encode("html", "UTF-8")), 256).alias("digest"))
+
+
+@CATALOG.add("c14_literal_round_trip", "SELECT conv_id, turn, sha256(text) AS digest FROM conversations")
+def c14(spark, folder):
+    """Texts packed with literals only."""
+    from ..functions import lz50
+
+    trip = binary_kernel(lambda b: lz50.Decoder().decode(lz50.encode(b, False), len(b)))
+    return read(spark, folder, "conversations").select("conv_id", "turn", F.sha2(trip(F.encode("text", "UTF-8")), 256).alias("digest"))
+
+
+@CATALOG.add("c09_solid_chain", "SELECT conv_id, turn, sha256(text) AS digest FROM conversations")
+def c09(spark, folder):
+    """A conversation is a solid chain: one decoder goes through its turns in order."""
+    from ..functions import lz50
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, decoder = pdf.sort_values("turn"), lz50.Decoder()
+        return pdf.assign(data=[decoder.decode(lz50.encode(bytes(b)), len(b)) for b in pdf.data])
+
+    c = read(spark, folder, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("data"))
+    return c.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, data binary").select("conv_id", "turn", F.sha2("data", 256).alias("digest"))
+
+
+@CATALOG.add("c07_block_headers", "SELECT page_id, 1 AS blocks, true AS last FROM pages")
+def c07(spark, folder):
+    """Headers of the blocks of packed pages."""
+    from ..functions import lz50
+
+    @F.pandas_udf("struct<blocks:int,last:boolean>")
+    def headers(data: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b in data:
+            b, at, n, last = lz50.encode(bytes(b), False), 0, 0, False
+            while at < len(b):
+                _, at, _, last, _ = lz50.parse_block(b, at)
+                n += 1
+            rows.append({"blocks": n, "last": last})
+        return pd.DataFrame(rows)
+
+    return read(spark, folder, "pages").select("page_id", headers(F.encode("html", "UTF-8")).alias("x")).select("page_id", "x.*")
+
+
+@CATALOG.add("c20_branch_filter", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def c20(spark, folder):
+    """Call targets made absolute and relative again."""
+    from ..functions.filters import x86_decode, x86_encode
+
+    trip = binary_kernel(lambda b: x86_decode(x86_encode(b, 0, True), 0, True))
+    return read(spark, folder, "documents").select("doc_id", F.sha2(trip(F.encode("text", "UTF-8")), 256).alias("digest"))
+
+
+@CATALOG.add("c22_arm_filter", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def c22(spark, folder):
+    from ..functions.filters import arm_decode, arm_encode
+
+    trip = binary_kernel(lambda b: arm_decode(arm_encode(b)))
+    return read(spark, folder, "documents").select("doc_id", F.sha2(trip(F.encode("text", "UTF-8")), 256).alias("digest"))
+
+
+@CATALOG.add("r04_encoder_matrix", "SELECT count(*) AS cells, true AS inverse FROM range(5), range(20)")
+def r04(spark, folder):
+    """Cells of a parity matrix: each is the inverse of (row + data) xor column in GF(2**16)."""
+    m = recovery.encoder_matrix(20, 5)
+    cells = spark.createDataFrame([(i, j, int(m[i, j])) for i in range(5) for j in range(20)], "i int, j int, cell long")
+
+    @F.pandas_udf("long")
+    def product(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(recovery.GF16.multiply(a.to_numpy(), b.to_numpy()))
+
+    ok = product("cell", ((F.col("i") + 20).bitwiseXOR(F.col("j"))).cast("long")) == 1
+    return cells.select(ok.alias("ok")).agg(F.count("*").alias("cells"), F.bool_and("ok").alias("inverse"))
+
+
+@CATALOG.add("a18_code_lengths", "SELECT doc_id, true AS complete FROM documents WHERE length(text) > 0")
+def a18(spark, folder):
+    """Code lengths from the byte counts of a payload: counts are aggregated in Spark, only 256 numbers a payload reach the kernel."""
+    from ..functions.bits import byte_values
+    from ..functions.lz50 import code_lengths
+
+    d = read(spark, folder, "documents").select("doc_id", F.explode(byte_values(F.encode("text", "UTF-8"))).alias("byte"))
+    d = d.groupBy("doc_id", "byte").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("byte", "n")).alias("h"))
+
+    @F.pandas_udf("boolean")
+    def complete(h: pd.Series) -> pd.Series:
+        out = []
+        for rows in h:
+            f = [0] * 256
+            for r in rows:
+                f[r["byte"]] = r["n"]
+            out.append(sum(2.0**-n for n in code_lengths(f) if n) == 1.0)
+        return pd.Series(out)
+
+    return d.select("doc_id", complete("h").alias("complete"))
