@@ -66,7 +66,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return splitmix(total + length.astype(np.uint64)), edge
 
 
-def text_shingles(column, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_shingles(column, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row of the batch, ...) pieces: (first row, hashes, edges)."""
     data, offsets, _ = text_bytes(column)
     for i, j in pieces(offsets, most):

@@ -93,7 +93,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def batch_statistics(column) -> np.ndarray:
     data, offsets, _ = text_bytes(column)
-    found = [statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets, 2 << 20)]
+    found = [statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets, 1 << 19)]
     return np.concatenate(found) if found else np.zeros((0, D))
 
 
