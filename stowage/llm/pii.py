@@ -165,22 +165,34 @@ def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """t, n: the number of documents with each term whose hash is in the candidates' bitmap (a superset of them)."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(candidates))
 
+    def added(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        t, at = np.unique(np.concatenate(found), return_inverse=True)
+        return [t], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        found: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for batch in batches:
             data, offsets, _ = text_bytes(batch.column("text"))
-            found, counts = [], []
-            for i, j in pieces(offsets, 2 << 20):
+            for i, j in pieces(offsets, 1 << 19):
                 lo = offsets[i]
                 _, _, value, owner = terms(data[lo : offsets[j]], offsets[i : j + 1] - lo)
                 low = value & ((1 << BITS) - 1)
-                hit = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
-                both = np.unique(np.stack([value[hit], owner[hit]]), axis=1)
-                t, n = np.unique(both[0], return_counts=True)
+                hit = np.flatnonzero((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
+                value, owner = value[hit], owner[hit]
+                order = np.lexsort((owner, value))
+                value, owner = value[order], owner[order]
+                new = np.ones(len(value), bool)
+                new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+                t, n = np.unique(value[new], return_counts=True)
                 found.append(t)
                 counts.append(n)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(counts).astype(np.int64))], ["t", "n"])
+            if len(found) > 64:
+                found, counts = added(found, counts)
+        if found:  # a row for each term and task
+            (t,), (n,) = added(found, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["t", "n"])
 
     return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
