@@ -69,7 +69,7 @@ def x11(spark, folder):
 def s11(spark, folder):
     """Hash and redirection records, one row each."""
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ms = [{"name": str(i).encode(), "payload": b"", **({"hash": checksums.blake2sp(b"")} if i % 3 == 0 else {"link": (1, 0, b"target")})} for i in sorted(pdf.member_index)]
         return pd.DataFrame({"path": [key[0]], "content": [A.write50(ms)]})
 
@@ -159,7 +159,7 @@ def _repair(bits: int):
     def run(spark, folder: str) -> DataFrame:
         """Groups of eight documents' heads are shards; two of each group are lost and solved from parity."""
 
-        def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("doc_id")
             size = max(map(len, pdf.data))
             size += size % 2

@@ -10,12 +10,15 @@ from ..sources.tables import fragments
 
 CATALOG = Catalog()
 QUERIES, ORACLES = CATALOG.queries, CATALOG.oracles
-_SET = Window.partitionBy("set_id").orderBy("volume")
+
+
+def _by_set():
+    return Window.partitionBy("set_id").orderBy("volume")
 
 
 def runs(f: DataFrame) -> DataFrame:
     """`run` numbers the stretches of consecutive volumes of a set (gaps and islands)."""
-    return f.withColumn("run", F.col("volume") - F.row_number().over(_SET))
+    return f.withColumn("run", F.col("volume") - F.row_number().over(_by_set()))
 
 
 def fold(f: DataFrame) -> DataFrame:
@@ -36,14 +39,14 @@ def a02(spark, folder):
 @CATALOG.add("w02_volume_order_check", "SELECT set_id, volume, volume = min(volume) OVER (PARTITION BY set_id) + row_number() OVER (PARTITION BY set_id ORDER BY volume) - 1 AS in_order FROM {fragments}")
 def w02(spark, folder):
     """Format 5+: a volume's number is the first number plus its place."""
-    return fragments(spark, folder).select("set_id", "volume", (F.col("volume") == F.first("volume").over(_SET) + F.row_number().over(_SET) - 1).alias("in_order"))
+    return fragments(spark, folder).select("set_id", "volume", (F.col("volume") == F.first("volume").over(_by_set()) + F.row_number().over(_by_set()) - 1).alias("in_order"))
 
 
 @CATALOG.add("w03_volume_number_check", "SELECT set_id, volume, n IS NULL OR coalesce(prev IS NULL OR n = (prev + 1) % 65536, true) AS in_order FROM (SELECT set_id, volume, n, lag(n) OVER (PARTITION BY set_id ORDER BY volume) AS prev FROM (SELECT set_id, volume, CASE WHEN packed_size % 7 = 0 THEN NULL ELSE (volume + 65530) % 65536 END AS n FROM {fragments}))")
 def w03(spark, folder):
     """Format 3: numbers run modulo 65536; volumes without a number are allowed."""
     f = fragments(spark, folder).withColumn("n", F.expr("CASE WHEN packed_size % 7 = 0 THEN NULL ELSE (volume + 65530) % 65536 END"))
-    prev = F.lag("n").over(_SET)
+    prev = F.lag("n").over(_by_set())
     return f.select("set_id", "volume", F.coalesce(F.col("n").isNull() | prev.isNull() | (F.col("n") == (prev + 1) % 65536), F.lit(True)).alias("in_order"))
 
 
