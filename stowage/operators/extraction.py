@@ -378,3 +378,63 @@ def c08(spark, folder):
         return sum(2.0**-n for n in lz50.read_tables(lz50.Window(packed[first:end], bits))[0] if n) == 1.0
 
     return read(spark, folder, "pages").select("page_id", binary_kernel(complete, "boolean")(F.encode("html", "UTF-8")).alias("complete"))
+
+
+# ------------------------------------------------------------------ typed records
+@CATALOG.add("s12_main_records", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS quick_open, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS recovery FROM orders")
+def s12(spark, folder):
+    """Locator records written and read: offsets of the quick-open and recovery services."""
+    from ..functions import extras
+
+    @F.pandas_udf("struct<quick_open:long,recovery:long>")
+    def trip(q: pd.Series, r: pd.Series) -> pd.DataFrame:
+        value = lambda x: None if pd.isna(x) else int(x)
+        rows = [extras.read_locator(extras.write_locator(value(a), value(b))) for a, b in zip(q, r, strict=True)]
+        return pd.DataFrame({k: pd.array([x[k] for x in rows], "Int64") for k in ("quick_open", "recovery")})
+
+    o = read(spark, folder, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS q", "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS r")
+    return o.select("o_orderkey", trip("q", "r").alias("x")).select("o_orderkey", "x.*")
+
+
+@CATALOG.add("s34_archive_metadata", "SELECT c_custkey, c_name AS name, c_custkey * 10000000 + 116444736000000000 AS ticks FROM customer")
+def s34(spark, folder):
+    """The original name and creation time of an archive."""
+    from ..functions import extras
+
+    @F.pandas_udf("struct<name:string,ticks:long>")
+    def trip(n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        rows = [extras.read_metadata(extras.write_metadata(s.encode(), unix=int(i))) for s, i in zip(n, k, strict=True)]
+        return pd.DataFrame({"name": [r["name"].decode() for r in rows], "ticks": [r["ticks"] for r in rows]})
+
+    return read(spark, folder, "customer").select("c_custkey", trip("c_name", "c_custkey").alias("x")).select("c_custkey", "x.*")
+
+
+@CATALOG.add("d09_time_records", "SELECT o_orderkey, o_orderkey * 1234567891 AS modified, o_custkey * 1000000007 AS created FROM orders")
+def d09(spark, folder):
+    """Times of a member to the nanosecond, through the record and back."""
+    from ..functions import extras
+
+    @F.pandas_udf("struct<modified:long,created:long>")
+    def trip(m: pd.Series, c: pd.Series) -> pd.DataFrame:
+        rows = [extras.read_times(extras.write_times({"modified": int(a), "created": int(b)})) for a, b in zip(m, c, strict=True)]
+        return pd.DataFrame(rows)
+
+    o = read(spark, folder, "orders").selectExpr("o_orderkey", "o_orderkey * 1234567891 AS m", "o_custkey * 1000000007 AS c")
+    return o.select("o_orderkey", trip("m", "c").alias("x")).select("o_orderkey", "x.*")
+
+
+@CATALOG.add("d08_extended_times", "SELECT o_orderkey, o_orderkey * 7919 % 20000000 AS fraction FROM orders")
+def d08(spark, folder):
+    """Format 3's extension: fractions of 100 ns and the odd second beside a DOS word."""
+    from ..functions import extras
+
+    trip = binary_kernel(lambda b: extras.read_extended(extras.write_extended([(1, int(b)), None, None, (2, 5)]), 1)[0][1], "long")
+    return read(spark, folder, "orders").select("o_orderkey", trip(F.encode(F.expr("o_orderkey * 7919 % 20000000").cast("string"), "UTF-8")).alias("fraction"))
+
+
+@CATALOG.add("y04_key_derivation_3", "SELECT r_regionkey, 16 AS key_bytes, 16 AS iv_bytes FROM region")
+def y04(spark, folder):
+    """Keys of format 3 for one salt each: 2**18 rounds of SHA-1, so distinct salts only."""
+    derive = binary_kernel(lambda b: b"".join(ciphers.keys30(b"password", b.rjust(8, b"0"))))
+    r = read(spark, folder, "region").select("r_regionkey", derive(F.encode(F.col("r_regionkey").cast("string"), "UTF-8")).alias("k"))
+    return r.select("r_regionkey", F.length(F.substr("k", F.lit(1), F.lit(16))).alias("key_bytes"), (F.length("k") - 16).alias("iv_bytes"))
