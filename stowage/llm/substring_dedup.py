@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _POWERS, bounded, byte_table, prefix_hash, span_hash, splitmix, stored, text_bytes
@@ -114,8 +114,9 @@ def context_counts(texts: DataFrame) -> DataFrame:
 
     rows = texts.mapInArrow(run, "anchor long, content long, doc long, n long").repartition("anchor")
     every = rows.groupBy("anchor", "content").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"))
-    several = every.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("n").alias("all")).where("all > 1")
-    return every.join(several, "anchor").select("anchor", "content", "doc", "n", "contents")
+    own = Window.partitionBy("anchor")  # the partitioning is there already
+    every = every.withColumn("contents", F.count("*").over(own)).withColumn("all", F.sum("n").over(own))
+    return every.where("all > 1").select("anchor", "content", "doc", "n", "contents")
 
 
 def _bits(bit: Column, keys: DataFrame) -> np.ndarray:
