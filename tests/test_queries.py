@@ -1,7 +1,7 @@
 """Each query with an oracle gives the rows of its SQL; the others give rows."""
 
 import pytest
-from oracle import connect, spark_rows, sql_rows
+from tests.oracle import connect, spark_rows, sql_rows
 
 from stowage.plans import registry
 
