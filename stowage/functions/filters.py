@@ -78,3 +78,71 @@ def arm_decode(data: bytes, offset: int = 0) -> bytes:
 
 def arm_encode(data: bytes, offset: int = 0) -> bytes:
     return _arm(data, offset, 1)
+
+
+# Fixed value: which of the three slots of a bundle hold a branch, by template 16 to 31
+SLOTS = (4, 4, 6, 6, 0, 0, 7, 7, 4, 4, 0, 0, 4, 4, 0, 0)
+
+
+def _itanium(data: bytes, offset: int, sign: int) -> bytes:
+    out, place = bytearray(data), offset >> 4
+    for at in range(0, len(data) - 21 + 1, 16):
+        bundle = int.from_bytes(out[at : at + 16], "little")
+        template = (bundle & 31) - 16
+        if template >= 0:
+            for slot in range(3):
+                first = slot * 41 + 5
+                if SLOTS[template] >> slot & 1 and bundle >> first + 37 & 15 == 5:
+                    target = bundle >> first + 13 & 0xFFFFF
+                    bundle ^= (target ^ target + sign * place & 0xFFFFF) << first + 13
+            out[at : at + 16] = bundle.to_bytes(16, "little")
+        place += 1
+    return bytes(out)
+
+
+def itanium_decode(data: bytes, offset: int = 0) -> bytes:
+    """Branch targets of 16-byte bundles, absolute to relative; the last 21 bytes' incomplete bundles stay."""
+    return _itanium(data, offset, -1)
+
+
+def itanium_encode(data: bytes, offset: int = 0) -> bytes:
+    return _itanium(data, offset, 1)
+
+
+def _predicted(left: int, upper: int, corner: int) -> int:
+    """Of the three neighbours the nearest to left + upper - corner."""
+    p = left + upper - corner
+    a, b, c = abs(p - left), abs(p - upper), abs(p - corner)
+    return left if a <= b and a <= c else upper if b <= c else corner
+
+
+def rgb_decode(data: bytes, width: int, red: int = 0) -> bytes:
+    """Three planes of differences to the predicted colour of a picture `width` bytes wide; green is added back to red and blue."""
+    n, out, at = len(data), bytearray(len(data)), 0
+    for channel in range(3):
+        left = 0
+        for i in range(channel, n, 3):
+            upper = i - width
+            guess = _predicted(left, out[upper], out[upper - 3]) if upper >= 3 else left
+            left = guess - data[at] & 255
+            out[i] = left
+            at += 1
+    for i in range(red, n - 2, 3):
+        out[i] = out[i] + out[i + 1] & 255
+        out[i + 2] = out[i + 2] + out[i + 1] & 255
+    return bytes(out)
+
+
+def rgb_encode(data: bytes, width: int, red: int = 0) -> bytes:
+    plain, out = bytearray(data), bytearray()
+    for i in range(red, len(plain) - 2, 3):
+        plain[i] = plain[i] - plain[i + 1] & 255
+        plain[i + 2] = plain[i + 2] - plain[i + 1] & 255
+    for channel in range(3):
+        left = 0
+        for i in range(channel, len(plain), 3):
+            upper = i - width
+            guess = _predicted(left, plain[upper], plain[upper - 3]) if upper >= 3 else left
+            out.append(guess - plain[i] & 255)
+            left = plain[i]
+    return bytes(out)

@@ -293,3 +293,32 @@ def a18(spark, folder):
         return pd.Series(out)
 
     return d.select("doc_id", complete("h").alias("complete"))
+
+
+@CATALOG.add("c23_bundle_filter", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def c23(spark, folder):
+    from ..functions.filters import itanium_decode, itanium_encode
+
+    trip = binary_kernel(lambda b: itanium_decode(itanium_encode(b)))
+    return read(spark, folder, "documents").select("doc_id", F.sha2(trip(F.encode("text", "UTF-8")), 256).alias("digest"))
+
+
+@CATALOG.add("c24_picture_filter", "SELECT page_id, sha256(html) AS digest FROM pages")
+def c24(spark, folder):
+    from ..functions.filters import rgb_decode, rgb_encode
+
+    trip = binary_kernel(lambda b: rgb_decode(rgb_encode(b, 48), 48))
+    return read(spark, folder, "pages").select("page_id", F.sha2(trip(F.encode("html", "UTF-8")), 256).alias("digest"))
+
+
+@CATALOG.add("c35_branch_encode", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 16777216 - 1 ELSE c_custkey END AS target FROM customer")
+def c35(spark, folder):
+    """A relative call at place 0 becomes the absolute target: place of the operand plus the distance."""
+    from ..functions.filters import x86_encode
+
+    def target(b: bytes) -> int:
+        return int.from_bytes(x86_encode(b"\xe8" + (int(b) - 1).to_bytes(4, "little", signed=True) + b"\0")[1:5], "little", signed=True)
+
+    run = binary_kernel(target, "long")
+    c = read(spark, folder, "customer")
+    return c.select("c_custkey", run(F.encode(F.expr("CASE WHEN c_custkey % 2 = 0 THEN 16777215 ELSE c_custkey END").cast("string"), "UTF-8")).alias("target"))
