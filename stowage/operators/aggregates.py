@@ -16,7 +16,7 @@ sql("a01_listing_totals", "SELECT archive, sum(unpacked_size) AS bytes, count(*)
 sql("a03_distinct_salts", "SELECT DISTINCT member_index % 53 AS salt, member_index % 4 AS rounds FROM {members} WHERE is_encrypted")
 sql("a13_largest_and_total", "SELECT archive, max(unpacked_size) AS largest, sum(unpacked_size) AS total, CASE WHEN bool_or(is_solid) THEN sum(unpacked_size) ELSE max(unpacked_size) END AS content FROM {members} GROUP BY archive", "SELECT archive, max(unpacked_size) AS largest, sum(unpacked_size)::BIGINT AS total, CASE WHEN bool_or(is_solid) THEN sum(unpacked_size) ELSE max(unpacked_size) END::BIGINT AS content FROM {members} GROUP BY archive")
 sql("a14_archive_flags", "SELECT archive, bool_or(is_solid) AS any_solid, bool_or(is_encrypted) AS any_encrypted, bool_and(is_stored) AS all_stored FROM {members} GROUP BY archive")
-sql("a15_damage_counters", "SELECT archive, count_if(is_damaged) AS damaged, count_if(is_encrypted AND NOT is_damaged) AS locked, count_if(is_directory) AS skipped FROM {members} GROUP BY archive")
+sql("a15_damage_counters", "SELECT archive, count_if(is_damaged) AS damaged, count_if(is_encrypted AND NOT is_damaged) AS locked, count_if(is_directory) AS skipped FROM {members} GROUP BY archive", "SELECT archive, count(*) FILTER (is_damaged) AS damaged, count(*) FILTER (is_encrypted AND NOT is_damaged) AS locked, count(*) FILTER (is_directory) AS skipped FROM {members} GROUP BY archive")
 sql("a17_preservation_version", "SELECT archive, max(unpack_version) AS newest, CASE WHEN max(unpack_version) >= 29 THEN 'rar29' WHEN max(unpack_version) >= 20 THEN 'rar20' ELSE 'rar15' END AS version FROM {members} GROUP BY archive")
 sql("b12_staged_bytes", "SELECT archive, sum(unpacked_size) AS staged FROM {members} WHERE NOT is_directory AND NOT is_redirection GROUP BY archive", "SELECT archive, sum(unpacked_size)::BIGINT AS staged FROM {members} WHERE NOT is_directory AND NOT is_redirection GROUP BY archive")
 

@@ -70,10 +70,7 @@ def w05(spark, folder):
 @CATALOG.add("x12_salvage_remainder", f"SELECT set_id, first_volume, last_volume, packed_size FROM (SELECT *, min(first_volume) OVER (PARTITION BY set_id) AS lo, max(last_volume) OVER (PARTITION BY set_id) AS hi FROM {_FOLD}) WHERE first_volume = lo AND last_volume = hi")
 def x12(spark, folder):
     """What is left after incomplete members are dropped."""
-    f = fragments(spark, folder)
-    from .volumes import fold as _fold
-
-    g, bad = _fold(f), w05(spark, folder).select("set_id", "first_volume")
+    g, bad = fold(fragments(spark, folder)), w05(spark, folder).select("set_id", "first_volume")
     return g.join(bad, ["set_id", "first_volume"], "left_anti").select("set_id", "first_volume", "last_volume", "packed_size")
 
 
