@@ -221,6 +221,19 @@ def parse15(data: bytes, at: int) -> Iterator[dict]:
             return
 
 
+def protect15(rec_sectors: int, blocks: int) -> bytes:
+    """A recovery record's header of version 2: sectors of parity and blocks covered."""
+    return block15(0x78, 0, struct.pack("<IBHI", 0, 1, rec_sectors, blocks) + b"Protect!")
+
+
+def read_protect(header: bytes) -> dict | None:
+    """rec_sectors, blocks and the data that follows (tags and parity); null without the mark."""
+    if len(header) < 26 or header[18:26] != b"Protect!":
+        return None
+    sectors, blocks = struct.unpack_from("<HI", header, 12)
+    return {"rec_sectors": sectors, "blocks": blocks, "data_size": 2 * blocks + 512 * sectors}
+
+
 def legacy_name(raw: bytes, unicode: bool) -> bytes:
     """A name with a packed Unicode form (two-bit commands over the fallback), as UTF-8; other names and short forms come back as they are."""
     zero = raw.find(b"\0")

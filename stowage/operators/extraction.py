@@ -438,3 +438,127 @@ def y04(spark, folder):
     derive = binary_kernel(lambda b: b"".join(ciphers.keys30(b"password", b.rjust(8, b"0"))))
     r = read(spark, folder, "region").select("r_regionkey", derive(F.encode(F.col("r_regionkey").cast("string"), "UTF-8")).alias("k"))
     return r.select("r_regionkey", F.length(F.substr("k", F.lit(1), F.lit(16))).alias("key_bytes"), (F.length("k") - 16).alias("iv_bytes"))
+
+
+# ------------------------------------------------------------------ further scans, sinks and reports
+@CATALOG.add("s03_scan_from_bytes", "SELECT page_id, (['5+', '1.5-4', '1.3'])[(page_id % 3 + 1)::INT] AS family, 1 AS members FROM pages")
+def s03(spark, folder):
+    """Containers of all three families, told apart by their signatures behind a stub."""
+
+    @F.pandas_udf("binary")
+    def make(i: pd.Series, url: pd.Series) -> pd.Series:
+        writers = (A.write50, A.write15, A.write13)
+        return pd.Series([b"stub" + writers[k % 3]([{"name": b"n", "payload": u.encode()}]) for k, u in zip(i, url, strict=True)])
+
+    c = read(spark, folder, "pages").select(F.col("page_id").cast("string").alias("path"), make("page_id", "url").alias("content"))
+    b = read_blocks(c).where("kind = 'file'")
+    return b.groupBy(F.col("path").cast("long").alias("page_id"), "family").agg(F.count("*").alias("members"))
+
+
+@CATALOG.add("s04_scan_from_path", "SELECT 'none' AS kind, false AS header_ok, 'no signature' AS error")
+def s04(spark, folder):
+    """Files under a path, through Spark's own reader; a table's file is no archive, and one row says so."""
+    from ..sources.archives import read_files
+
+    return read_files(spark, f"{folder}/region.parquet").select("kind", "header_ok", "error")
+
+
+@CATALOG.add("s29_ingest_path")
+def s29(spark, folder):
+    """Files under a path as members to be: name, size and time; contents are not projected."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/region.parquet")
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("unpacked_size"))
+
+
+@CATALOG.add("s37_protect_headers", "SELECT s_suppkey, s_suppkey % 500 AS rec_sectors, s_suppkey * 7 AS blocks, 2 * s_suppkey * 7 + 512 * (s_suppkey % 500) AS data_size FROM supplier")
+def s37(spark, folder):
+    @F.pandas_udf("struct<rec_sectors:long,blocks:long,data_size:long>")
+    def trip(k: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([A.read_protect(A.protect15(int(i) % 500, int(i) * 7)) for i in k])
+
+    return read(spark, folder, "supplier").select("s_suppkey", trip("s_suppkey").alias("x")).select("s_suppkey", "x.*")
+
+
+@CATALOG.add("c33_authenticity_flag", "SELECT page_id, page_id % 2 = 0 AS present FROM pages")
+def c33(spark, folder):
+    """Format 1.3 says only that authenticity data is there."""
+
+    @F.pandas_udf("binary")
+    def make(i: pd.Series) -> pd.Series:
+        return pd.Series([A.write13([], flags=0xA0 if k % 2 == 0 else 0x80) for k in i])
+
+    c = read(spark, folder, "pages").select(F.col("page_id").cast("string").alias("path"), make("page_id").alias("content"))
+    return read_blocks(c).where("kind = 'main'").select(F.col("path").cast("long").alias("page_id"), (F.col("flags").bitwiseAND(0x20) != 0).alias("present"))
+
+
+@CATALOG.add("b13_build_bytes", "SELECT 'a' || doc_id // 64 AS archive, (7 + sum(21 + octet_length(encode(source || '/' || lang || '/' || doc_id || '.txt')) + octet_length(encode(text))))::BIGINT AS bytes FROM documents GROUP BY 1")
+def b13(spark, folder):
+    """Sizes of built containers of format 1.3: a header of seven bytes, then 21 bytes, the name and the payload of each member."""
+    return _containers(spark, folder, "1.3").select(F.col("path").alias("archive"), F.length("content").cast("long").alias("bytes"))
+
+
+@CATALOG.add("k15_collected_volumes", "SELECT doc_id AS set_id, greatest(1, (octet_length(encode(text)) + 1999) // 2000) AS volumes FROM documents")
+def k15(spark, folder):
+    """The volumes of a set as one ordered array."""
+    m = _members(spark, folder).select(F.col("member_index").alias("set_id"), "name", "payload")
+    g = write_volumes(m, 2000).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("volume", "content"))).alias("v"))
+    return g.select("set_id", F.size("v").cast("long").alias("volumes"))
+
+
+@CATALOG.add("k18_restore_order", "SELECT member_index, row_number() OVER (PARTITION BY archive ORDER BY is_directory, CASE WHEN is_directory THEN -len(string_split(name, '/')) ELSE 0 END, member_index) AS step FROM {members}")
+def k18(spark, folder):
+    """Times are restored on files first, then on directories from the deepest up."""
+    from ..sources.tables import members
+
+    depth = F.when(F.col("is_directory"), -F.size(F.split("name", "/"))).otherwise(0)
+    return members(spark, folder).select("member_index", F.row_number().over(Window.partitionBy("archive").orderBy("is_directory", depth, "member_index")).alias("step"))
+
+
+@CATALOG.add("k20_extract_volume_set", "SELECT doc_id AS set_id, text FROM documents")
+def k20(spark, folder):
+    m = _members(spark, folder).select(F.col("member_index").alias("set_id"), "name", "payload")
+    return extract_sets(write_volumes(m, 3000)).select("set_id", F.decode("payload", "UTF-8").alias("text"))
+
+
+@CATALOG.add("x05_controlled_stop", "SELECT archive, count(*) AS extracted FROM (SELECT archive, member_index, min(CASE WHEN is_damaged THEN member_index END) OVER (PARTITION BY archive) AS stop FROM {members}) WHERE stop IS NULL OR member_index < stop GROUP BY archive")
+def x05(spark, folder):
+    """Extraction stops at the first damaged member of an archive."""
+    from ..sources.tables import members
+
+    m = members(spark, folder)
+    stop = m.groupBy("archive").agg(F.min(F.when(F.col("is_damaged"), F.col("member_index"))).alias("stop"))
+    return m.join(stop, "archive").where("stop is null or member_index < stop").groupBy("archive").agg(F.count("*").alias("extracted"))
+
+
+@CATALOG.add("a19_recovery_report", "SELECT s_nationkey AS set_id, count(*) AS expected, count(*) FILTER (s_suppkey % 5 <> 1) AS available, count(*) FILTER (s_suppkey % 5 <> 1 AND s_suppkey % 9 = 2) AS damaged, count(*) FILTER (s_suppkey % 5 = 1 OR s_suppkey % 9 = 2) <= 2 AS repairable FROM supplier GROUP BY s_nationkey")
+def a19(spark, folder):
+    """Shards of a set that are expected, that arrived and that fail their check; two parity shards repair two."""
+    s = read(spark, folder, "supplier").selectExpr("s_nationkey AS set_id", "s_suppkey % 5 <> 1 AS here", "s_suppkey % 9 = 2 AS bad")
+    return s.groupBy("set_id").agg(F.count("*").alias("expected"), F.count_if("here").alias("available"), F.count_if(F.col("here") & F.col("bad")).alias("damaged"), (F.count_if(~F.col("here") | F.col("bad")) <= 2).alias("repairable"))
+
+
+@CATALOG.add("y10_random_salts", "SELECT count(*) AS salts, true AS all_differ FROM orders")
+def y10(spark, folder):
+    """Salts from the operating system, one for each member; no two are equal."""
+    import os
+
+    @F.pandas_udf("binary")
+    def urandom(k: pd.Series) -> pd.Series:
+        return pd.Series([os.urandom(16) for _ in k])
+
+    salt = urandom.asNondeterministic()
+    o = read(spark, folder, "orders").select(salt("o_orderkey").alias("salt"))
+    return o.agg(F.count("*").alias("salts"), (F.count_distinct("salt") == F.count("*")).alias("all_differ"))
+
+
+@CATALOG.add("g04_screened_kinds")
+def g04(spark, folder):
+    """Packed size of the sample window of a page for each kind of filter."""
+    kinds = {"none": lambda b: b, "delta": lambda b: filters.delta_encode(b, 3), "e8": filters.x86_encode, "arm": filters.arm_encode}
+    from ..functions.bits import sample_range
+
+    p = read(spark, folder, "pages").select("page_id", F.encode("html", "UTF-8").alias("data"))
+    r = sample_range(F.length("data").cast("long"))
+    p = p.select("page_id", F.substr("data", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")).alias("sample"))
+    sizes = F.array(*(F.struct(F.lit(k).alias("kind"), binary_kernel(lambda b, f=f: len(zlib.compress(f(b), 1)), "long")("sample").alias("packed")) for k, f in kinds.items()))
+    return p.select("page_id", F.inline(sizes))
