@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..sources.tables import members, read
+from .running import running
 
 CATALOG = Catalog()
 QUERIES, ORACLES = CATALOG.queries, CATALOG.oracles
@@ -29,29 +30,28 @@ def w01(spark, folder):
 
 @CATALOG.add("w06_rename_counters", "SELECT member_index, row_number() OVER (PARTITION BY archive, name ORDER BY member_index) - 1 AS counter FROM {members}")
 def w06(spark, folder):
-    return members(spark, folder).select("member_index", (F.row_number().over(Window.partitionBy("archive", "name").orderBy("member_index")) - 1).alias("counter"))
+    return running(members(spark, folder), ["archive", "name"], "member_index", {"counter": F.lit(1)}, before=True).select("member_index", "counter")
 
 
 @CATALOG.add("w11_solid_chain_state", "SELECT archive, member_index, chain, sum(is_damaged::INT) OVER (PARTITION BY archive, chain ORDER BY member_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS broken FROM (SELECT *, sum((NOT is_solid)::INT) OVER (PARTITION BY archive ORDER BY member_index)::BIGINT AS chain FROM {members})")
 def w11(spark, folder):
     """A failed member breaks its solid chain up to the next independent member."""
-    chain = F.sum((~F.col("is_solid")).cast("long")).over(Window.partitionBy("archive").orderBy("member_index"))
-    m = members(spark, folder).withColumn("chain", chain)
-    before = Window.partitionBy("archive", "chain").orderBy("member_index").rowsBetween(Window.unboundedPreceding, -1)
-    return m.select("archive", "member_index", "chain", (F.sum(F.col("is_damaged").cast("int")).over(before) > 0).alias("broken"))
+    m = running(members(spark, folder), ["archive"], "member_index", {"chain": (~F.col("is_solid")).cast("long")})
+    m = running(m, ["archive", "chain"], "member_index", {"failed": F.col("is_damaged").cast("long"), "earlier": F.lit(1)}, before=True)
+    return m.select("archive", "member_index", "chain", F.when(F.col("earlier") > 0, F.col("failed") > 0).alias("broken"))
 
 
 @CATALOG.add("w12_output_budget", "SELECT archive, member_index, total, total <= 100000 AS admitted FROM (SELECT archive, member_index, (sum(unpacked_size) OVER (PARTITION BY archive ORDER BY member_index))::BIGINT AS total FROM {members})")
 def w12(spark, folder):
     """Members are admitted while the running total of output stays within the budget, which counts as reached only beyond it."""
-    total = F.sum("unpacked_size").over(Window.partitionBy("archive").orderBy("member_index"))
-    return members(spark, folder).select("archive", "member_index", total.alias("total"), (total <= 100000).alias("admitted"))
+    m = running(members(spark, folder), ["archive"], "member_index", {"total": F.col("unpacked_size")})
+    return m.select("archive", "member_index", "total", (F.col("total") <= 100000).alias("admitted"))
 
 
 @CATALOG.add("w13_header_budget", "SELECT archive, member_index, n <= 20 AND bytes <= 800 AS admitted FROM (SELECT archive, member_index, row_number() OVER w AS n, sum(length(name) + 21) OVER w AS bytes FROM {members} WINDOW w AS (PARTITION BY archive ORDER BY member_index))")
 def w13(spark, folder):
-    w = Window.partitionBy("archive").orderBy("member_index")
-    return members(spark, folder).select("archive", "member_index", ((F.row_number().over(w) <= 20) & (F.sum(F.length("name") + 21).over(w) <= 800)).alias("admitted"))
+    m = running(members(spark, folder), ["archive"], "member_index", {"n": F.lit(1), "bytes": F.length("name") + 21})
+    return m.select("archive", "member_index", ((F.col("n") <= 20) & (F.col("bytes") <= 800)).alias("admitted"))
 
 
 _RANGES = "SELECT o_custkey AS k, (o_orderkey * 37) % 5000 AS s, (o_orderkey * 37) % 5000 + o_orderkey % 400 AS e FROM {orders}"
@@ -93,8 +93,9 @@ def x09(spark, folder):
 
 @CATALOG.add("x10_read_progress", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS completed, count(*) OVER (PARTITION BY user_id) AS total FROM events")
 def x10(spark, folder):
-    e = read(spark, folder, "events")
-    return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("completed"), F.count("*").over(Window.partitionBy("user_id")).alias("total"))
+    e = read(spark, folder, "events").select("user_id", "event_id")
+    total = e.groupBy("user_id").agg(F.count("*").alias("total"))
+    return running(e, ["user_id"], "event_id", {"completed": F.lit(1)}).join(total, "user_id").select("user_id", "event_id", "completed", "total")
 
 
 @CATALOG.add("x15_windows_over_progress", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

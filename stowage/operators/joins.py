@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..sources.tables import blocks, members, read
+from .running import running
 
 CATALOG = Catalog()
 QUERIES, ORACLES = CATALOG.queries, CATALOG.oracles
@@ -90,8 +91,7 @@ sql("j14_read_by_name", "SELECT name, max_by(unpacked_size, member_index) AS unp
 @CATALOG.add("j15_read_by_index", "SELECT l.doc_id, m.archive, sum(x.unpacked_size)::BIGINT AS decoded_bytes FROM (SELECT DISTINCT doc_id FROM labels) l JOIN {members} m ON m.member_index = l.doc_id JOIN {members} x ON x.archive = m.archive AND (x.member_index = m.member_index OR (m.is_solid AND x.member_index < m.member_index)) GROUP BY ALL")
 def j15(spark, folder):
     """Bytes decoded to read one member: a solid one needs all members before it (a running sum, not a join)."""
-    m = members(spark, folder)
-    before = F.sum("unpacked_size").over(Window.partitionBy("archive").orderBy("member_index"))
-    m = m.withColumn("decoded_bytes", F.when(F.col("is_solid"), before).otherwise(F.col("unpacked_size")))
+    m = running(members(spark, folder), ["archive"], "member_index", {"upto": F.col("unpacked_size")})
+    m = m.withColumn("decoded_bytes", F.when(F.col("is_solid"), F.col("upto")).otherwise(F.col("unpacked_size")))
     asked = read(spark, folder, "labels").select("doc_id").distinct()
     return m.join(asked, m.member_index == asked.doc_id).select("doc_id", "archive", "decoded_bytes")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..sources.tables import members
+from .running import running
 
 CATALOG = Catalog()
 QUERIES, ORACLES = CATALOG.queries, CATALOG.oracles
@@ -29,14 +29,10 @@ sql(
 sql("p08_directories", "SELECT member_index, CASE WHEN host_os = 3 THEN file_attr & 61440 = 16384 ELSE file_attr & 16 <> 0 END AS is_dir FROM {members}")
 sql("p09_redirections", "SELECT member_index, name, link_target FROM {members} WHERE is_redirection AND NOT is_directory")
 sql("p10_split_flags", "SELECT member_index, flags & 1 <> 0 AS split_before, flags & 2 <> 0 AS split_after FROM {members}")
-sql("p11_solid", "SELECT archive, member_index, is_solid OR bool_or(flags & 256 <> 0) OVER (PARTITION BY archive) AS solid FROM {members}")
+sql("p11_solid", "SELECT m.archive, m.member_index, m.is_solid OR a.solid AS solid FROM {members} m JOIN (SELECT archive, bool_or(flags & 256 <> 0) AS solid FROM {members} GROUP BY archive) a ON m.archive = a.archive")
 sql("p12_stored_encrypted", "SELECT is_stored, is_encrypted, count(*) AS n FROM {members} GROUP BY is_stored, is_encrypted")
 sql("p13_supported_links", "SELECT member_index, link_type BETWEEN 1 AND 5 AND link_flags IN (0, 1) AND (link_type < 4 OR link_flags = 0) AND length(link_target) > 0 AS supported FROM {members}")
 sql("p14_extraction_selector", "SELECT m.archive, m.member_index FROM {members} m JOIN (SELECT archive, min(CASE WHEN is_damaged AND is_encrypted THEN member_index END) AS stop FROM {members} GROUP BY archive) s ON m.archive = s.archive WHERE (stop IS NULL OR m.member_index < stop) AND NOT m.is_directory".replace("JOIN (SELECT archive", "JOIN (SELECT archive"))
-sql(
-    "p15_solid_skip_budget",
-    "SELECT archive, member_index, skipped <= 200000 AS allowed FROM (SELECT archive, member_index, is_directory, sum(CASE WHEN is_directory THEN unpacked_size ELSE 0 END) OVER (PARTITION BY archive ORDER BY member_index) AS skipped FROM {members}) x WHERE is_directory",
-)
 sql("p16_needs_password", "SELECT archive, bool_or(is_encrypted) AS needs_password, count(*) AS members FROM {members} GROUP BY archive")
 sql("p17_first_volume", "SELECT set_id, volume, CASE WHEN packed_size % 10 = 0 THEN NULL ELSE volume = 0 END AS is_first FROM {fragments}")
 sql("p22_safe_links", "SELECT page_id, depth_min >= 0 AS inside FROM (SELECT page_id, array_min(transform(sequence(1, size(parts)), i -> aggregate(slice(parts, 1, i), CAST(2 AS INT), (d, p) -> d + CASE WHEN p = '..' THEN -1 WHEN p IN ('', '.') THEN 0 ELSE 1 END))) AS depth_min FROM (SELECT page_id, split(concat(CASE page_id % 4 WHEN 0 THEN '../../../' WHEN 1 THEN '../../' WHEN 2 THEN 'a/../../' ELSE './../' END, 'x/', page_id % 5), '/') AS parts FROM {pages}))", "SELECT page_id, page_id % 4 <> 0 AS inside FROM pages")
@@ -100,13 +96,19 @@ def p24(spark, folder):
     return m.groupBy("version").agg(F.count("*").alias("members")).join(filter_matrix(spark).where("supported"), "version").select("version", "filter", "members")
 
 
+@CATALOG.add("p15_solid_skip_budget", "SELECT archive, member_index, skipped <= 200000 AS allowed FROM (SELECT archive, member_index, is_directory, sum(CASE WHEN is_directory THEN unpacked_size ELSE 0 END) OVER (PARTITION BY archive ORDER BY member_index) AS skipped FROM {members}) x WHERE is_directory")
+def p15(spark, folder):
+    """Skipped members of a solid archive must be decoded all the same; their running size is held against a budget."""
+    m = running(members(spark, folder), ["archive"], "member_index", {"skipped": F.when(F.col("is_directory"), F.col("unpacked_size")).otherwise(0)})
+    return m.where("is_directory").select("archive", "member_index", (F.col("skipped") <= 200000).alias("allowed"))
+
+
 @CATALOG.add("k05_overwrite_rename", "SELECT member_index, CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '\\.txt$', '(' || n || ').txt') END AS written FROM (SELECT member_index, name, row_number() OVER (PARTITION BY name ORDER BY member_index) - 1 AS n FROM {members})")
 def k05(spark, folder):
     """Policy 'rename': the later claimants of a name get a number before the extension."""
     from ..functions.names import numbered
 
-    n = F.row_number().over(Window.partitionBy("name").orderBy("member_index")) - 1
-    m = members(spark, folder).select("member_index", "name", n.alias("n"))
+    m = running(members(spark, folder), ["name"], "member_index", {"n": F.lit(1)}, before=True)
     return m.select("member_index", F.when(F.col("n") == 0, F.col("name")).otherwise(numbered(F.col("name"), F.col("n"))).alias("written"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
+from ..plans.storage import cut
 from ..sources.tables import blocks, members, read
+from .running import running
 
 CATALOG = Catalog()
 QUERIES, ORACLES = CATALOG.queries, CATALOG.oracles
@@ -18,7 +20,7 @@ def ranked(df: DataFrame, order: list[Column], name: str, partitions: int | None
     Only one count for each range meets in one place, so the rank works on any number of rows.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    spread = cut(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))  # ranges are sampled once
     local = spread.withColumn("_local", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     counts = spread.groupBy("_range").agg(F.count("*").alias("_n"))
     base = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_base"))
@@ -58,4 +60,4 @@ def t05(spark, folder):
 def t08(spark, folder):
     """Payloads for a rewrite, in source order."""
     m = members(spark, folder).where("not is_directory")
-    return m.select("archive", (F.row_number().over(Window.partitionBy("archive").orderBy("member_index")) - 1).alias("place"), "member_index")
+    return running(m, ["archive"], "member_index", {"place": F.lit(1)}, before=True).select("archive", "place", "member_index")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..sources.tables import fragments
+from .running import running
 
 CATALOG = Catalog()
 QUERIES, ORACLES = CATALOG.queries, CATALOG.oracles
@@ -111,9 +112,8 @@ def w14(spark, folder):
     from ..sources.tables import members
 
     size = 20000
-    m = members(spark, folder).where("packed_size > 0")
-    e = F.sum("packed_size").over(Window.partitionBy("archive").orderBy("member_index"))
-    m = m.select("archive", "member_index", (e - F.col("packed_size")).alias("s"), e.alias("e"))
+    m = running(members(spark, folder).where("packed_size > 0"), ["archive"], "member_index", {"e": F.col("packed_size")})
+    m = m.select("archive", "member_index", (F.col("e") - F.col("packed_size")).alias("s"), "e")
     m = m.withColumn("volume", F.explode(F.expr(f"sequence(s div {size}, (e - 1) div {size})")))
     lo, hi = F.col("volume") * size, (F.col("volume") + 1) * size
     return m.select("archive", "member_index", "volume", (F.least("e", hi) - F.greatest("s", lo)).alias("bytes"), (F.col("s") < lo).alias("split_before"), (F.col("e") > hi).alias("split_after"))
