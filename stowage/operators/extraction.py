@@ -562,3 +562,23 @@ def g04(spark, folder):
     p = p.select("page_id", F.substr("data", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")).alias("sample"))
     sizes = F.array(*(F.struct(F.lit(k).alias("kind"), binary_kernel(lambda b, f=f: len(zlib.compress(f(b), 1)), "long")("sample").alias("packed")) for k, f in kinds.items()))
     return p.select("page_id", F.inline(sizes))
+
+
+@CATALOG.add("w07_block_splitting")
+def w07(spark, folder):
+    """Blocks of payloads by drift: byte counts of chunks are aggregated in Spark; only 256 numbers a chunk go through the ordered fold."""
+    import numpy as np
+
+    from ..functions.blocks import cuts
+    from ..functions.bits import byte_values
+
+    d = read(spark, folder, "documents").select("doc_id", F.posexplode(byte_values(F.encode("text", "UTF-8"))).alias("i", "byte"))
+    h = d.groupBy("doc_id", F.expr("i div 4096").alias("chunk"), "byte").agg(F.count("*").alias("n"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((int(pdf.chunk.max()) + 1, 256), np.int64)
+        table[pdf.chunk, pdf.byte] = pdf.n
+        blocks = cuts(table)
+        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "chunk": range(len(blocks)), "block": blocks})
+
+    return h.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk long, block long").groupBy("doc_id", "block").agg(F.min("chunk").alias("first_chunk"), F.count("*").alias("chunks"))
