@@ -582,3 +582,55 @@ def w07(spark, folder):
         return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "chunk": range(len(blocks)), "block": blocks})
 
     return h.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk long, block long").groupBy("doc_id", "block").agg(F.min("chunk").alias("first_chunk"), F.count("*").alias("chunks"))
+
+
+# ------------------------------------------------------------------ more on keys
+@CATALOG.add("j11_key_cache", "SELECT archive, count(*) AS encrypted, count(DISTINCT member_index % 8) AS derivations FROM {members} WHERE is_encrypted GROUP BY archive")
+def j11(spark, folder):
+    """Members of an archive share derived keys: as many derivations as there are distinct salts."""
+    from ..sources.tables import members
+
+    m = members(spark, folder).where("is_encrypted").select("archive", F.expr("member_index % 8").alias("salt"))
+    return m.groupBy("archive").agg(F.count("*").alias("encrypted"), F.count_distinct("salt").alias("derivations"))
+
+
+@CATALOG.add("y06_key_derivation_5", "SELECT n_nationkey, 32 AS key_bytes, 32 AS hash_key_bytes, true AS differ FROM nation")
+def y06(spark, folder):
+    """Key, hash key and check of a password: three taps of one PBKDF2 chain."""
+
+    @F.pandas_udf("struct<key_bytes:int,hash_key_bytes:int,differ:boolean>")
+    def derive(k: pd.Series, name: pd.Series) -> pd.DataFrame:
+        rows = [ciphers.keys50(s.encode(), int(i).to_bytes(16, "little"), 6) for i, s in zip(k, name, strict=True)]
+        return pd.DataFrame({"key_bytes": [len(r["key"]) for r in rows], "hash_key_bytes": [len(r["hash_key"]) for r in rows], "differ": [r["key"] != r["hash_key"] for r in rows]})
+
+    return read(spark, folder, "nation").select("n_nationkey", derive("n_nationkey", "n_name").alias("x")).select("n_nationkey", "x.*")
+
+
+@CATALOG.add("y08_password_check", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' ELSE 'undetermined' END AS verdict FROM nation")
+def y08(spark, folder):
+    """The stored record of eight bytes and four of their SHA-256; an all-zero record says nothing."""
+
+    @F.pandas_udf("string")
+    def verdict(k: pd.Series) -> pd.Series:
+        out = []
+        for i in k:
+            check = ciphers.keys50(b"pw", int(i).to_bytes(16, "little"), 4)["check"]
+            other = ciphers.keys50(b"no", int(i).to_bytes(16, "little"), 4)["check"]
+            stored = (ciphers.check_record(check), ciphers.check_record(other), bytes(12))[int(i) % 3]
+            out.append(ciphers.verdict(check, stored))
+        return pd.Series(out)
+
+    return read(spark, folder, "nation").select("n_nationkey", verdict("n_nationkey").alias("verdict"))
+
+
+@CATALOG.add("y12_keyed_tree_hash", "SELECT n_nationkey, 32 AS bytes, true AS keyed FROM nation")
+def y12(spark, folder):
+    """A strong hash under a password is an HMAC of the plain one."""
+
+    @F.pandas_udf("struct<bytes:int,keyed:boolean>")
+    def mac(k: pd.Series, name: pd.Series) -> pd.DataFrame:
+        plain = [checksums.blake2sp(s.encode()) for s in name]
+        keyed = [checksums.mac_hash(int(i).to_bytes(32, "little"), d) for i, d in zip(k, plain, strict=True)]
+        return pd.DataFrame({"bytes": [len(x) for x in keyed], "keyed": [x != d for x, d in zip(keyed, plain, strict=True)]})
+
+    return read(spark, folder, "nation").select("n_nationkey", mac("n_nationkey", "n_name").alias("x")).select("n_nationkey", "x.*")
