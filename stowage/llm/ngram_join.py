@@ -248,7 +248,7 @@ def classes(docs: DataFrame) -> DataFrame:
     grouped = cut(reps.select("doc_id", "n").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("class")))
 
     # postings once for each shingle and class; in_index: within the shorter prefix that the smaller set of a pair needs
-    posts = reps.select("doc_id", F.posexplode("prefix").alias("at", "shingle")).join(grouped, "doc_id")
+    posts = reps.select("doc_id", "prefix").join(grouped, "doc_id").select("class", "n", F.posexplode("prefix").alias("at", "shingle"))
     posts = posts.select("shingle", "class", "n", (F.col("at") < F.expr("n - (8 * n + 8) div 9 + 1")).alias("in_index"))
     posts = posts.repartition("shingle").groupBy("shingle", "class").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("in_index").alias("in_index"))
     wide = posts.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
