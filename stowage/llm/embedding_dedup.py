@@ -1,19 +1,17 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by exact block comparison.
 
-Vectors that are equal, component by component, collapse into one representative with a weight. In each
-pass, 63 random hyperplanes give a vector a signature of 63 bits; all passes are range-sorted by
-(pass, signature) at once, and each vector is compared by cosine with the `window` vectors
-before it, across the borders of partitions too. Pairs found with cosine >= `least` are united
-across passes into components.
+Vectors that are equal, component by component, collapse into one representative with a weight. The
+representatives are dealt into blocks by a hash of their id, and every pair of blocks meets in
+one task, which compares all their vectors by cosine in tiles of matrix products. So every pair of
+representatives is compared exactly once, whatever their number and however dense they
+lie: links are counted and united where they are found, and the recall is 1 by construction.
 
-Windows bound the candidates only, not the links: inside a component every link is counted, whatever
-its distance in a pass. Members within half the limiting angle of the component's first
-vector all link to each other (the triangle inequality of angles), so they are counted, not paired; only
-the other members are compared with the whole component.
+Products are taken in single precision; pairs whose product its rounding leaves open are decided
+in double precision again. A task keeps one label for each of its vectors and returns a count and a
+label for those that link, never the links themselves.
 
-Recall: two vectors at angle t share a signature's first k bits with probability (1 - t/pi)**k, and a
-window of w in n vectors spans about log2(n/w) bits; with 12 passes and a window of 512, 50,000 vectors
-give over 0.99 at cosine 0.9 and over 0.99999 at 0.98. `passes` is the parameter to raise with n.
+Cost: n * (n - 1) / 2 products for n representatives, and one copy of each vector for every block;
+the README gives figures.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components link
 with nothing; vectors of different length never link; rows that repeat a vec_id count as one vector
@@ -24,146 +22,95 @@ are left out, since no id names them; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, stored
 
-PASSES, WINDOW, LEAST = 12, 512, 0.9
-
-
-def _planes(p: int, d: int) -> np.ndarray:
-    return np.random.default_rng([20240501, p, d]).standard_normal((63, d))
-
-
-def _matrix(column) -> list[np.ndarray]:
-    """The vectors of an Arrow list column, as float64."""
-    flat = np.asarray(column.flatten()).astype(np.float64)
-    at = np.asarray(column.value_lengths().fill_null(0)).cumsum()
-    return np.split(flat, at[:-1])
-
-
-def signatures(reps: DataFrame, passes: int) -> DataFrame:
-    """pass, signature, id, vector: a row for each vector and pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.int64(1) << np.arange(62, -1, -1, dtype=np.int64)
-        for batch in batches:
-            vectors = _matrix(batch.column("vector"))
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_size.setdefault(len(v), []).append(i)
-            for d, rows in by_size.items():
-                x = np.stack([vectors[i] for i in rows])
-                own = batch.take(pa.array(rows))
-                for p in range(passes):
-                    sig = (x @ _planes(p, d).T >= 0) @ bits
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), p, np.int32)), pa.array(sig), own.column("id"), own.column("vector")], ["pass", "signature", "id", "vector"])
-
-    return reps.select("id", "vector").mapInArrow(run, "pass int, signature long, id long, vector array<float>")
-
-
-def _unite(ids: np.ndarray, x: np.ndarray, old: int, window: int, least: float, cross: bool = False) -> list[tuple[int, int]]:
-    """Edges that connect what links within the window; rows before `old` were compared among themselves already. cross: only pairs of an old and a new row."""
-    n = len(ids)
-    if n - old <= 0:
-        return []
-    near = x[old:] @ (x[:old] if cross else x).T >= least
-    i, j = np.nonzero(near)
-    i = i + old
-    ok = (j < i) & (i - j <= window)
-    i, j = i[ok], j[ok]
-    label = np.arange(n)
-    while True:  # least label of each linked row, until nothing changes
-        m = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, m)
-        np.minimum.at(label, j, m)
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = np.flatnonzero(label != np.arange(n))
-    return list(zip(ids[moved].tolist(), ids[label[moved]].tolist(), strict=True))
-
-
-_OUT = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("border", pa.int32()), ("place", pa.int32()), ("pass", pa.int32()), ("vector", pa.list_(pa.float32()))])
-
-
-def candidates(signed: DataFrame, partitions: int, window: int, least: float) -> DataFrame:
-    """a, b: edges whose components are those of all pairs found by the windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        carry_ids, carry_x, carry_pass, carry_d = np.zeros(0, np.int64), None, -1, -1
-        first: list[tuple] = []
-        last: list[tuple] = []
-        seen = 0
-        for batch in batches:
-            vectors = _matrix(batch.column("vector"))
-            ids, passes = np.asarray(batch.column("id")), np.asarray(batch.column("pass"))
-            sizes = np.array([len(v) for v in vectors])
-            edges: list[tuple[int, int]] = []
-            i = 0
-            while i < len(ids):
-                j = i + 1
-                while j < len(ids) and j - i < window and passes[j] == passes[i] and sizes[j] == sizes[i]:
-                    j += 1
-                x = np.stack(vectors[i:j])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                if passes[i] == carry_pass and sizes[i] == carry_d:
-                    all_ids, all_x = np.concatenate([carry_ids, ids[i:j]]), np.concatenate([carry_x, x])
-                    edges += _unite(all_ids, all_x, len(carry_ids), window, least)
-                else:
-                    all_ids, all_x = ids[i:j], x
-                    edges += _unite(all_ids, all_x, 0, window, least)
-                carry_ids, carry_x, carry_pass, carry_d = all_ids[-window:], all_x[-window:], passes[i], sizes[i]
-                i = j
-            rows = list(zip(range(seen, seen + len(ids)), ids.tolist(), passes.tolist(), vectors, strict=True))
-            first += rows[: max(0, window - len(first))]
-            last = (last + rows)[-window:]
-            seen += len(ids)
-            if edges:
-                n = len(edges)
-                a, b = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(a), pa.array(b), *(pa.nulls(n, _OUT.field(k).type) for k in range(3, 7))], schema=_OUT)
-        for border, rows in ((part - 1, first), (part, last)):  # the rows that meet the partition before and the one after
-            if rows:
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([1 + (border == part)] * n, pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.nulls(n, pa.int64()), pa.array([border] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.float32()))], schema=_OUT)
-
-    dealt = signed.repartitionByRange(partitions, "pass", "signature").sortWithinPartitions("pass", "signature", "id")
-    found = stored(dealt.mapInArrow(run, "kind int, a long, b long, border int, place int, pass int, vector array<float>"), "vector-windows")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "place"], ascending=[False, True])
-        edges = []
-        for _, own in pdf.groupby([pdf["pass"], pdf["vector"].str.len()]):
-            old = int((own.kind == 2).sum())
-            x = np.stack(own.vector.to_list()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            if 0 < old < len(own):
-                edges += _unite(own.a.to_numpy(), x, old, window, least, cross=True)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    borders = found.where("kind > 0").select("kind", "a", "border", "place", "pass", "vector").groupBy("border").applyInPandas(meet, "a long, b long")  # two windows in a group at most
-    return found.where("kind = 0").select("a", "b").union(borders).distinct()
-
-
-def _dot(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def _norm(x: str) -> Column:
-    return F.sqrt(_dot(x, x))
-
-
-def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW, least: float = LEAST) -> DataFrame:
+LEAST = 0.9
+BLOCK, TILE = 1 << 17, 2048
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels (each the least row of its set, as label[label] == label) after the sets of a[k] and b[k] are united."""
+    a, b = label[a], label[b]
+    while len(a := a[differ := a != b]):
+        b = b[differ]
+        pair = np.unique(np.maximum(a, b) * len(label) + np.minimum(a, b))
+        a, b = pair // len(label), pair % len(label)
+        label = label.copy()
+        np.minimum.at(label, a, b)
+        while not np.array_equal(label, above := label[label]):
+            label = above
+        a, b = label[a], label[b]
+    return label
+
+
+def compare(x: np.ndarray, weight: np.ndarray, old: int, least: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each row, labels of the linked sets); with `old`, only rows before it are compared with rows from it on."""
+    n = len(x)
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x.astype(np.float32)
+    margin = (x.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    links, label = np.zeros(n), np.arange(n)
+    for i in range(0, old or n, tile):
+        past = min(i + tile, old or n)
+        for j in range(old or i, n, tile):
+            dots = y[i:past] @ y[j : j + tile].T
+            flat = np.flatnonzero(dots >= least - margin)
+            if not len(flat):
+                continue
+            a, b = i + flat // dots.shape[1], j + flat % dots.shape[1]
+            near = dots.ravel()[flat] >= least + margin
+            for k in range(0, len(unsure := np.flatnonzero(~near)), 1 << 16):
+                own = unsure[k : k + (1 << 16)]
+                near[own] = np.einsum("ij,ij->i", x[a[own]], x[b[own]]) >= least
+            near &= a < b
+            a, b = a[near], b[near]
+            links += np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
+            label = merge(label, a, b)
+    return links, label
+
+
+_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def links(reps: DataFrame, n: int, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """a, b, n: for each pair of blocks, its vectors that link, one that each is connected to, and the weight of those it links with."""
+    blocks = max(math.ceil(n / block), min(8, math.ceil(n / TILE)), 1)
+    tasks = blocks * (blocks + 1) // 2
+    own = reps.select("id", "weight", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, weight = np.asarray(group.column("id")), np.asarray(group.column("weight")).astype(np.float64)
+        part = np.asarray(group.column("block"))
+        vectors = group.column("vector").combine_chunks()
+        flat, size = np.asarray(vectors.flatten()), np.asarray(vectors.value_lengths())
+        start = np.cumsum(size) - size
+        found = []
+        for d in np.unique(size):
+            rows = np.flatnonzero(size == d)
+            rows = rows[np.argsort(part[rows], kind="stable")]
+            first = int((part[rows] == part.min()).sum())
+            old = 0 if part.min() == part.max() else first
+            if part.min() != part.max() and first in (0, len(rows)):
+                continue  # one block alone has vectors of this length
+            n_links, label = compare(flat[start[rows][:, None] + np.arange(d)], weight[rows], old, least)
+            hit = np.flatnonzero(n_links)
+            found.append(pa.table([pa.array(ids[rows[hit]]), pa.array(ids[rows[label[hit]]]), pa.array(n_links[hit].astype(np.int64))], schema=_OUT))
+        return pa.concat_tables(found) if found else _OUT.empty_table()
+
+    return met.select("low", "high", "block", "id", "weight", "vector").repartition(tasks, "low", "high").groupBy("low", "high").applyInArrow(run, "a long, b long, n long")
+
+
+def near_duplicates(vectors: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each vec_id."""
     v = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
     fine = F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("vector", lambda c: c != 0), F.lit(False))
@@ -174,21 +121,10 @@ def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WIND
     reps = v.where("fine").select("vec_id", "vector", F.xxhash64("vector").alias("f1"), F.xxhash64(F.lit(1), "vector").alias("f2")).join(copies.select(F.col("id").alias("vec_id"), "f1", "f2", "weight"), ["vec_id", "f1", "f2"]).dropDuplicates(["vec_id"])
     reps = stored(reps.select(F.col("vec_id").alias("id"), "vector", "weight"), "vector-representatives")
     n = copies.count()
-    edges = candidates(signatures(reps, passes), max(1, math.ceil(n * passes / 16384)), window, least)
-    group = cut(components(edges))
-
-    member = reps.join(group, "id")
-    hub = reps.select(F.col("id").alias("component"), F.col("vector").alias("hub"))
-    half = math.cos(math.acos(least) / 2) + 1e-9
-    member = member.join(hub, "component").withColumn("core", _dot("vector", "hub") / (_norm("vector") * _norm("hub")) >= half)
-    member = stored(member.select("id", "component", "weight", "core", "vector"), "vector-members")
-    core = member.where("core").groupBy("component").agg(F.sum("weight").alias("core_weight"))
-    x = member.where(~F.col("core")).select(F.col("id").alias("x"), F.col("weight").alias("w_x"), F.col("vector").alias("v_x"), "component")
-    y = member.select(F.col("id").alias("y"), F.col("weight").alias("w_y"), F.col("vector").alias("v_y"), F.col("core").alias("core_y"), "component")
-    met = x.join(y, "component").where("x <> y").where(_dot("v_x", "v_y") / (_norm("v_x") * _norm("v_y")) >= least)
-    more = met.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("w_y").alias("w")), F.struct(F.when(F.col("core_y"), F.col("y")).alias("id"), F.col("w_x").alias("w")))).alias("z")).where("z.id is not null").groupBy("z.id").agg(F.sum("z.w").alias("more"))
-    counted = member.drop("vector").join(core, "component", "left").join(more, "id", "left")
-    counted = counted.select("id", "component", (F.when(F.col("core"), F.col("core_weight")).otherwise(F.col("weight")) - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    found = stored(links(reps, n, least, block), "vector-links")
+    group = cut(components(found))
+    more = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("more"))
+    counted = group.join(more, "id").join(reps.select("id", "weight"), "id").select("id", "component", (F.col("weight") - 1 + F.col("more")).alias("links"))
 
     named = copies.join(counted, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("links"), F.col("weight") - 1).alias("n_links"))
     # ids of equal vectors: the component of the representative is already the least of them

@@ -313,3 +313,27 @@ def test_embeddings(spark):
                     todo.append(j)
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links.get(i, ())), min(comp), i == min(comp)), i
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_in_one_cone(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    n, d, pairs = 20000, 64, 300
+    centre = rng.standard_normal(d)
+    centre /= np.linalg.norm(centre)
+    x = rng.standard_normal((n, d)) * np.sqrt(0.3 / d) + np.sqrt(0.7) * centre
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, d))
+    side -= (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.92 * x[:pairs] + np.sqrt(1 - 0.92**2) * side]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.9).sum(1) - 1 for k in range(0, len(x), 1000)])
+    assert [got[k].n_links for k in range(len(x))] == want.tolist()
+    assert all(got[k].component_id == got[n + k].component_id for k in range(pairs))
+    few = df.where("vec_id < 300 or vec_id >= 20000")
+    assert sorted(map(str, embedding_dedup.near_duplicates(few, block=50).collect())) == sorted(map(str, embedding_dedup.near_duplicates(few).collect()))
