@@ -337,3 +337,36 @@ def test_embeddings_in_one_cone(spark):
     assert all(got[k].component_id == got[n + k].component_id for k in range(pairs))
     few = df.where("vec_id < 300 or vec_id >= 20000")
     assert sorted(map(str, embedding_dedup.near_duplicates(few, block=50).collect())) == sorted(map(str, embedding_dedup.near_duplicates(few).collect()))
+
+
+def test_pii_terms_at_any_distance(spark):
+    far = " ".join(["some", "common", "words"] * 10)
+    rows = [(k, f"Zorblax {far} john.doe@mail.com {far} Zorblax{', again' * k}", "en", "a") for k in range(3)]
+    rows += [(10 + k, far, "en", "a") for k in range(60)] + [(80, f"Zorblax {far}", "en", "a")]
+    docs = table(spark, rows)
+    got = {r.doc_id: r for r in pii.digest(pii.find(docs, threshold=0.8)).collect()}
+    for k in range(3):
+        text = rows[k][1]
+        assert [text[m.start() : m.end()] for m in re.finditer("Zorblax", text) if f"term:{m.start()}:{m.end()}" in got[k].spans.split(",")] == ["Zorblax"] * 2
+    assert got[80].spans == "" and got[10].spans == ""
+    out = {r.doc_id: r.text for r in pii.sanitise(docs, threshold=0.8).collect()}
+    assert all("Zorblax" not in out[k] and "john.doe" not in out[k] for k in range(3)) and out[80] == rows[-1][1]
+
+
+def test_pii_terms_against_counts(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(21)
+    mails = [f"user{k}@mail.com" for k in range(8)]
+    rows = [(k, " ".join(r.choice([*WORDS[:120], *mails[: r.choice([0, 0, 3, 8])]]) for _ in range(r.randrange(1, 30))), "en", "a") for k in range(300)]
+    docs, n_e, n_t, n_et = table(spark, rows), Counter(), Counter(), Counter()
+    for _, text, *_ in rows:
+        e = {w for w in text.split() if "@" in w}
+        t = {w for w in text.split() if "@" not in w and len(w) >= 3}
+        n_e.update(e)
+        n_t.update(t)
+        n_et.update((x, y) for x in e for y in t)
+    keys = {w: int(pii.free_terms(w, [])[2][0]) for w in n_t} | {e: pii._hash_text(f"email:{e}") for e in n_e}
+    want = {(keys[e], keys[t]) for (e, t), n in n_et.items() if n >= 2 and math.log(300 * n / (n_e[e] * n_t[t])) >= 0.4 * math.log(300 / n_e[e]) + 1e-12}
+    assert want and {(x.e, x.t) for x in pii.disclosing(docs, threshold=0.4).collect()} == want
