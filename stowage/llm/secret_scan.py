@@ -6,6 +6,10 @@ concatenations with +), constants are propagated through names used later in the
 and a literal is reported when the name that it reaches is sensitive and the literal looks
 like a secret rather than a placeholder, a path or prose.
 
+A concatenation is read once, part by part, and a name in it stands for what it held then; each
+literal is judged once, when the first sensitive name reaches it. So work is linear in the
+text, however many parts a secret has and however often constants are built from each other.
+
 Defined cases: null counts as empty, an empty text has no findings; each row is scanned by
 itself, so repeated rows give repeated results; matches that fail a length test are dropped
 without retrying inside them; offsets are code points, ends exclusive; extra columns are ignored.
@@ -18,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +41,6 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "bearer": 2, "private": 1, "api": 1, "access": 1, "key": 1, "client": 0, "signing": 1, "encryption": 1, "session": 1, "jwt": 2, "salt": 1, "cert": 1}
 HARMLESS = {"count": 3, "length": 3, "limit": 3, "max": 2, "min": 2, "file": 2, "path": 2, "url": 3, "uri": 3, "name": 2, "type": 3, "id": 1, "ttl": 3, "expiry": 3, "field": 2, "label": 3, "hint": 3, "public": 3, "policy": 3, "index": 2, "column": 2, "prompt": 3}
 _PLACEHOLDER = re.compile(r"(?i)(change.?me|example|placeholder|your|dummy|sample|redacted|none|null|true|false|undefined|x{4,}|\*{3,}|\.{3,}|todo|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})")
-_HINT = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|jwt|salt|private")
 _PAIR = re.compile(r"""(?<![\w.\-])(?:--)?["']?([A-Za-z_][\w.\-]*+)["']?[ \t]*+(?::=|=>|=(?!=)|:(?![:/])|(?<=[\w])[ \t](?=["']))[ \t]*+""")
 _VALUE = re.compile(r"""(?:[bru]{0,2}"((?:[^"\\\n]|\\.)*+)"|[bru]{0,2}'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|(\$\{?)?([A-Za-z0-9+/_.=\-]++)\}?)""", re.A)
 _PLUS = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+")
@@ -56,6 +60,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+@lru_cache(1 << 16)
 def name_score(name: str) -> int:
     """How sensitive a target name is: the weights of its words, less those of harmless ones."""
     parts = [p.lower() for p in _PART.findall(name)]
@@ -64,41 +69,57 @@ def name_score(name: str) -> int:
 
 
 def literal_score(value: str, quoted: bool) -> float:
-    """From 0 to about 4: entropy for each character, none for placeholders, prose and short values."""
+    """Entropy for each character, none for placeholders, prose and short values."""
     if len(value) < 6 or _PLACEHOLDER.search(value) or value.count(" ") > 2:
         return 0.0
     if not quoted and not (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
         return 0.0
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value[:4096]).values()) if n <= 4096 else 4.0
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
 def literal_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of literals that reach a sensitive name, by way of constants too."""
-    if not _HINT.search(text) or not any(c in text for c in "=:\"'"):
+    if not any(c in text for c in "=:\"'") or not any(name_score(m[1]) >= 2 for m in _PAIR.finditer(text)):
         return []
-    known: dict[str, list[tuple[int, int, str, bool]]] = {}
+    parts: list[list] = []  # of concatenations: [literal, part that a name stands for, next part, whether any literal is in reach]
+    begun: dict[int, int] = {}  # the part that begins at each place
+    known: dict[str, int] = {}
+    judged: set[int] = set()
     found: set[tuple[int, str, int]] = set()
     for m in _PAIR.finditer(text):
-        at, pieces = m.end(), []
+        at, own, follows = m.end(), [], None
         while v := _VALUE.match(text, at):
+            if (follows := begun.get(at)) is not None:
+                break
             k = next(i for i in (1, 2, 3, 5) if v[i] is not None)
             name = v[5] if k == 5 else None
-            if name is not None and name in known:
-                pieces += known[name]
-            elif name is None or not v[4]:
-                pieces.append((v.start(k), v.end(k), v[k], k != 5))
+            stands = known.get(name) if name is not None else None
+            literal = (v.start(k), v.end(k), k != 5) if stands is None and (name is None or not v[4]) else None
+            begun[at] = len(parts)
+            own.append(len(parts))
+            parts.append([literal, stands, None, literal is not None or stands is not None])
             plus = _PLUS.match(text, v.end())
-            if not plus or len(pieces) > 64:
+            if not plus:
                 break
             at = plus.end()
-        if not pieces:
+        for i in reversed(own):
+            parts[i][2] = follows
+            parts[i][3] |= follows is not None and parts[follows][3]
+            follows = i
+        if follows is None or not parts[follows][3]:
             continue
-        known[m[1]] = pieces
+        known[m[1]] = follows
         if name_score(m[1]) >= 2:
-            for start, end, value, quoted in pieces:
-                if literal_score(value, quoted) >= 2.5:
-                    found.add((start, "literal", end))
+            todo = [follows]
+            while todo:
+                if (i := todo.pop()) is None or i in judged:
+                    continue
+                judged.add(i)
+                literal, stands, after, _ = parts[i]
+                todo += [stands, after]
+                if literal is not None and literal_score(text[literal[0] : literal[1]], literal[2]) >= 2.5:
+                    found.add((literal[0], "literal", literal[1]))
     return list(found)
 
 

@@ -370,3 +370,26 @@ def test_pii_terms_against_counts(spark):
     keys = {w: int(pii.free_terms(w, [])[2][0]) for w in n_t} | {e: pii._hash_text(f"email:{e}") for e in n_e}
     want = {(keys[e], keys[t]) for (e, t), n in n_et.items() if n >= 2 and math.log(300 * n / (n_e[e] * n_t[t])) >= 0.4 * math.log(300 / n_e[e]) + 1e-12}
     assert want and {(x.e, x.t) for x in pii.disclosing(docs, threshold=0.4).collect()} == want
+
+
+def secret_literals(text):
+    return [text[a:b] for a, k, b in secret_scan.spans_of(text)[1] if k == "literal"]
+
+
+def test_secrets_without_cuts():
+    import time
+
+    parts = [hashlib.md5(b"%d" % k).hexdigest() for k in range(200)]
+    assert secret_literals("db_password = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    steps = "".join(f'x{k} = {f"x{k - 1} + " if k else ""}"{p}"\n' for k, p in enumerate(parts))
+    assert secret_literals(steps + "db_password = x199\n") == parts
+    for name in ("api_access", "signing_cert", "session_access", "se_cret"):
+        assert secret_literals(f'{name} = "aB3dE5fG7hJ9kL1m"') == ["aB3dE5fG7hJ9kL1m"], name
+    for n in (4000, 5000):
+        assert secret_literals(f'db_password = "{"ab" * (n // 2)}"') == []
+        assert len(secret_literals(f'db_password = "{(parts[0] + "QRSTUV") * (n // 38)}"')) == 1
+    assert secret_literals('a1b2c3d4 = $y\ndb_password = a1b2c3d4') == ["a1b2c3d4"]
+    began = time.time()
+    secret_literals("db_password = 1\n" + "a=+ + " * 50000)
+    secret_literals("x0 = 'aB3dE5fG7hJ9'\n" + "".join(f"x{k + 1} = x{k} + x{k}\n" for k in range(2000)) + "db_password = x2000\n")
+    assert time.time() - began < 20
