@@ -150,16 +150,18 @@ def verdicts(leaks: DataFrame) -> DataFrame:
     return leaks.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, every column kept; rows with a null doc_id are judged by their text as well.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs that are not contaminated, every column kept; each row is judged by its own text, whatever its doc_id.
 
-    The scan runs as a filter on the row itself, so no text is shuffled. A benchmark beyond the broadcast bound goes through find_leaks and a join instead.
+    The scan runs as a filter on the row itself, so no text is shuffled. A benchmark beyond the broadcast bound goes through find_leaks and a join on a hash of the text instead.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > 32 << 20:
-        bad = verdicts(find_leaks(docs, benchmark)).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+    if size > most_bytes:
+        key = F.xxhash64("text")
+        leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, most_bytes=most_bytes)
+        bad = verdicts(leaks).where("contaminated").select(F.col("doc_id").alias("key of text")).distinct()
+        return docs.withColumn("key of text", key).join(bad, "key of text", "left_anti").select(*docs.columns)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     shared = spark.sparkContext.broadcast(windows([(r.item_id, r.text) for r in items.collect()]))
 

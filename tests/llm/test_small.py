@@ -393,3 +393,15 @@ def test_secrets_without_cuts():
     secret_literals("db_password = 1\n" + "a=+ + " * 50000)
     secret_literals("x0 = 'aB3dE5fG7hJ9'\n" + "".join(f"x{k + 1} = x{k} + x{k}\n" for k in range(2000)) + "db_password = x2000\n")
     assert time.time() - began < 20
+
+
+def test_decontaminate_large_benchmark_by_text(spark):
+    item = prose(40, 77)
+    bench = spark.createDataFrame([(1, item), (2, prose(40, 78))], "item_id long, text string")
+    rows = [*ROWS, (None, item, "en", "a"), (30, item, "en", "a"), (30, "clean words of its own", "en", "a"), (31, item, "en", "a"), (None, None, "en", "a")]
+    docs = table(spark, rows)
+    kept = decontaminate.decontaminate(docs, bench, most_bytes=100)
+    assert kept.columns == docs.columns
+    want = sorted(str((i, t)) for i, t, *_ in rows if t != item)
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == want
+    assert sorted(str((r.doc_id, r.text)) for r in decontaminate.decontaminate(docs, bench).collect()) == want
