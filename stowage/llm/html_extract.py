@@ -5,7 +5,10 @@ commas to its ancestors (all to the parent, half to the grandparent, less furthe
 element's points are discounted by the share of its text inside links and moved by what its
 tag, class and id say. The best container is kept, with those of its siblings that score well
 or read like prose. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are cut out before scoring.
+styles and reader comments are cut out before scoring. Where only a name of class or id says so,
+the element stays, with points taken off, if another name calls it content, if it holds a main
+or an article of some prose (not a card of links), or if it has `MUCH` characters outside links and few in them; reader comments stay
+for a name only. If nothing is left of a page, it is read again without regard to names.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by a newline in page order.
@@ -36,6 +39,9 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag closes an open element of these kinds, up to the nearest of the stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BAD_NAMES = frozenset("ad ads advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Names of reader comments, which are long prose and often articles themselves.
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+MUCH = 600
 GOOD_NAMES = frozenset("article body content entry main page post story text".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?")
@@ -44,31 +50,57 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "cut", "length", "links", "name_weight", "parent", "points", "tag")
+    __slots__ = ("children", "cut", "doubt", "length", "links", "name_weight", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, name_weight: int) -> None:
         self.tag, self.parent, self.cut, self.name_weight = tag, parent, cut, name_weight
         self.children: list[Node | str] = []
+        self.doubt = 0
         self.points = 0.0
         self.length = self.links = 0
 
 
-def _judged(tag: str, attrs: str) -> tuple[bool, int]:
-    """(whether the element is cut out, how its class and id move its points)."""
+def _judged(tag: str, attrs: str) -> tuple[bool, int, int]:
+    """(whether the element is cut out, how its class and id move its points, whether they speak against it: 1, or 2 for reader comments)."""
     if tag in CUT:
-        return True, 0
+        return True, 0, 0
     if not attrs or tag in ("html", "body"):
-        return False, 0
+        return False, 0, 0
     found = {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("role") in BAD_ROLES:
-        return True, 0
-    names = set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-    if tag not in ("article", "main") and names & BAD_NAMES:
-        return True, 0
-    return False, 25 * bool(names & GOOD_NAMES)
+        return True, 0, 0
+    each = [set(_NAME.findall(word)) for word in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    names = set().union(*each)
+    if tag in ("article", "main") or not names & BAD_NAMES:
+        return False, 25 * bool(names & GOOD_NAMES), 0
+    if any(word & GOOD_NAMES and not word & BAD_NAMES for word in each):
+        return False, 0, 0
+    return False, -25, 2 if names & READERS else 1
+
+
+def _settle(root: Node) -> None:
+    """Cuts the elements that names speak against, unless what they hold speaks for them."""
+    todo, order = [root], []
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node) and not c.cut)
+    held: dict[Node, tuple[int, int, bool]] = {}  # characters, those in links, whether a main or an article of prose is inside
+    for node in reversed(order):  # children before parents
+        length, links, holds = sum(len(c.strip()) for c in node.children if isinstance(c, str)), 0, False
+        for c in node.children:
+            if isinstance(c, Node) and not c.cut:
+                n, k, inside = held.pop(c)
+                length, links, holds = length + n, links + k, holds or inside or c.tag == "main" or c.tag == "article" and n - k >= 100 and k <= 0.25 * n
+        if node.tag == "a":
+            links = length
+        if node.doubt == 2 or node.doubt and not holds and (length - links < MUCH or links > 0.25 * length):
+            node.cut, holds = True, False
+            length = links = 0
+        held[node] = length, links, holds
 
 
-def parse(page: str) -> Node:
+def parse(page: str, by_name: bool = True) -> Node:
     root = Node("#root", None, False, 0)
     stack, open_tags = [root], {"#root": 1}
     lower, at, n = "", 0, len(page)
@@ -133,12 +165,15 @@ def parse(page: str) -> Node:
             continue
         if tag in VOID:
             continue
-        cut, weight = _judged(tag, m[3])
+        cut, weight, doubt = _judged(tag, m[3])
         node = Node(tag, parent, cut or parent.cut, weight)
+        node.doubt = doubt
         parent.children.append(node)
         if not m[3].endswith("/") or tag in BLOCK:
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
+    if by_name:
+        _settle(root)
     return root
 
 
@@ -217,7 +252,10 @@ def main_text(page: str | None) -> str:
     """The main text of a page (see the module's text)."""
     if not page:
         return ""
-    root = parse(page)
+    return _main_text(parse(page)) or _main_text(parse(page, by_name=False))
+
+
+def _main_text(root: Node) -> str:
     nodes = _score(root)
     best, top = None, 0.0
     for node in nodes:

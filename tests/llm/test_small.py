@@ -405,3 +405,17 @@ def test_decontaminate_large_benchmark_by_text(spark):
     want = sorted(str((i, t)) for i, t, *_ in rows if t != item)
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == want
     assert sorted(str((r.doc_id, r.text)) for r in decontaminate.decontaminate(docs, bench).collect()) == want
+
+
+def test_html_names_against_content():
+    prose_ = "<p>" + "words and, more words, " * 20 + "</p>"
+    side = "<div class=sidebar><p>Only a short note here, next to it all.</p></div>"
+    for wrapper in ("div class='content has-sidebar'", "div class='page with-banner'", "section class='discussion'", "div class='layout-sidebar-left'"):
+        tag = wrapper.split()[0]
+        text = html_extract.main_text(f"<body>{side}<{wrapper}><article>{prose_ * 2}</article></{tag}></body>")
+        assert text.count("words and") == 40 and "short note" not in text, wrapper
+    paper = f"<article><section>{prose_}</section><section class='discussion'>{prose_ * 2}</section>{side}</article>"
+    assert html_extract.main_text(paper).count("words and") == 60 and "short note" not in html_extract.main_text(paper)
+    thread = f"<div id=comments><article class=comment>{prose_ * 5}</article></div>"
+    assert html_extract.main_text(f"<div id=content>{prose_}</div>{thread}").count("words and") == 20
+    assert html_extract.main_text("<div class=notice><p>All that this page says is here.</p></div>") == "All that this page says is here."
