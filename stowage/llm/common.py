@@ -174,7 +174,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Alternates large-star and small-star rounds until nothing changes. Loops, repeated
     and null edges are ignored; without edges the result is empty. A round joins edges with
     one minimum for each node, so a hot hub only makes a skewed join, which adaptive
-    execution splits. Every round is checkpointed.
+    execution splits. Every round is checkpointed. Edges that do not settle within `most_rounds` are an error.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = cut(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -190,5 +190,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if tuple(state) == seen:
             break
         seen = tuple(state)
+    else:
+        raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))

@@ -32,9 +32,9 @@ _LETTER: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Which of the first 65,536 code points are letters."""
+    """Which code points are letters."""
     if not _LETTER:
-        _LETTER.append(np.array([chr(c).isalpha() for c in range(1 << 16)]))
+        _LETTER.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _LETTER[0]
 
 
@@ -44,8 +44,7 @@ def grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nda
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in lowered], out=offsets[1:])
     code = np.frombuffer("".join(t + " " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _letters()
-    letter = np.where(code < 1 << 16, table[np.minimum(code, (1 << 16) - 1)], True)
+    letter = _letters()[code]
     c = np.where(letter, code, 32).astype(np.uint64)
     found = []
     h = np.zeros(len(c), np.uint64)

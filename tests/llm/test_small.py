@@ -419,3 +419,8 @@ def test_html_names_against_content():
     thread = f"<div id=comments><article class=comment>{prose_ * 5}</article></div>"
     assert html_extract.main_text(f"<div id=content>{prose_}</div>{thread}").count("words and") == 20
     assert html_extract.main_text("<div class=notice><p>All that this page says is here.</p></div>") == "All that this page says is here."
+
+
+def test_letters_beyond_the_first_plane():
+    _, _, letters = language_id.grams(["\U0001f600\U0001f680", "\U00010400\U0001f600", "ab"])
+    assert letters.tolist() == [0, 1, 2]
