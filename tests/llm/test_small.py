@@ -8,6 +8,7 @@ import zlib
 import pytest
 
 from stowage.llm import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, pii, quality, secret_scan, substring_dedup
+from stowage.llm.common import components
 from stowage.llm.grouping import suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, tag string, key string, size string, word string"
@@ -424,3 +425,10 @@ def test_html_names_against_content():
 def test_letters_beyond_the_first_plane():
     _, _, letters = language_id.grams(["\U0001f600\U0001f680", "\U00010400\U0001f600", "ab"])
     assert letters.tolist() == [0, 1, 2]
+
+
+def test_components_do_not_stop_early(spark):
+    chain = spark.range(60).selectExpr("id as a", "id + 1 as b")
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=2)
+    assert {r.component for r in components(chain).collect()} == {0}
