@@ -152,13 +152,41 @@ def test_decontaminate(spark):
     assert got[21].n_hit == 2 and got[21].items_sha256 == hashlib.sha256(b"2").hexdigest()
     assert got[22].n_hit >= 13 and not got[22].contaminated
     assert got[4].n_words == 0 and not got[4].contaminated and got[4].items_sha256 == hashlib.sha256(b"").hexdigest()
-    parts = {r.doc_id: r for r in decontaminate.verdicts(decontaminate.find_leaks(table(spark, rows), bench, most_bytes=100)).collect()}
+    parts = {r.doc_id: r for r in decontaminate.verdicts(decontaminate.find_leaks(table(spark, rows), bench, most_bytes=300)).collect()}
     assert all(tuple(parts[k]) == tuple(got[k]) for k in got)
     spans = {r.doc_id: r.spans for r in decontaminate.find_leaks(table(spark, rows), bench).collect()}
     assert [(s.start, s.end) for s in spans[21]] == [(3, 13)]
     kept = decontaminate.decontaminate(table(spark, rows), bench)
-    assert sorted(r.doc_id for r in kept.where("doc_id >= 20").collect()) == [22]
-    assert decontaminate.decontaminate(table(spark, []), bench).count() == 0
+    rows += [(23, prose(1000, 8) + " " + " ".join(item.split()[3:15]), "en", "a"), (24, prose(900, 4) + " two words", "en", "a")]
+    for most in (1 << 20, 500):
+        kept = decontaminate.decontaminate(table(spark, rows), bench, most_bytes=most)
+        assert sorted(r.doc_id for r in kept.where("doc_id >= 20").collect()) == [23, 24]  # 12 words of a passage; two words of a short item in 902
+        assert decontaminate.decontaminate(table(spark, []), bench, most_bytes=most).count() == 0
+
+
+def brute_windows(text, items, window=13):
+    """(hit words, those in whole windows, items) of a text, place by place."""
+    clean = lambda t: [w.lower() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    words, hit, full, found = clean(text), set(), set(), set()
+    for item, t in items:
+        w = clean(t)
+        k = min(window, len(w))
+        own = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+        for i in range(len(words) - k + 1):
+            if tuple(words[i : i + k]) in own:
+                hit.update(range(i, i + k))
+                full.update(range(i, i + k) if k == window else ())
+                found.add(item)
+    return len(words), hit, full, found
+
+
+def test_windows_against_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        letters = "abc"[: r.choice([1, 2, 3])]
+        items = [(k, " ".join(r.choice(letters) for _ in range(r.choice([1, 3, 6, 12, 13, 14, 19, 40])))) for k in range(r.randrange(5))]
+        text = " ".join(r.choice([r.choice(letters), r.choice(letters), " ".join(r.choice(items)[1].split()[r.randrange(4) :]) if items else "d", "d"]) for _ in range(r.randrange(30)))
+        assert decontaminate.Scanner(decontaminate.Items(items)).scan(text) == brute_windows(text, items), (text, items)
 
 
 BASE_PII = {
@@ -401,7 +429,7 @@ def test_decontaminate_large_benchmark_by_text(spark):
     bench = spark.createDataFrame([(1, item), (2, prose(40, 78))], "item_id long, text string")
     rows = [*ROWS, (None, item, "en", "a"), (30, item, "en", "a"), (30, "clean words of its own", "en", "a"), (31, item, "en", "a"), (None, None, "en", "a")]
     docs = table(spark, rows)
-    kept = decontaminate.decontaminate(docs, bench, most_bytes=100)
+    kept = decontaminate.decontaminate(docs, bench, most_bytes=300)
     assert kept.columns == docs.columns
     want = sorted(str((i, t)) for i, t, *_ in rows if t != item)
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == want
