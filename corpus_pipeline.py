@@ -25,7 +25,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents a twentieth of whose words lie in benchmark windows."""
+    """Drops the documents that hold a benchmark window of 13 words, or a twentieth of whose words lie in shorter items."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
