@@ -7,15 +7,17 @@ when their Jaccard similarity is at least 0.8 (integers: 100 * i >= 80 * u).
    frequency, and hashes are renamed so that their natural order is rare to frequent: the
    common order of a prefix join, in which frequent passages stay out of the prefixes.
 2. One scan gives each document its set's size and fingerprint, its prefix (the first
-   n - ceil(0.8 n) + 1 shingles), min-hashes and a parity bitmap with about a bit for a shingle.
-   Documents with equal sets collapse into one representative.
-3. Representatives with identical prefix and size, or a min-hash in common, meet in groups;
-   each member is compared with its group's leaders only: the least id and the two members with the
-   fewest rare shingles. Verified links form classes.
-4. Prefix postings are kept once for each (shingle, class). Shingles that stay within one class, and so
-   whole groups of copies, produce nothing more; the others give pairs of classes, filtered by
+   n - ceil(0.8 n) + 1 shingles) and a parity bitmap with about a bit for a shingle.
+   Documents with equal sets collapse into one representative, and representatives with identical prefix
+   and size into one group, named by its least id.
+3. Groups are posted under the shingles of their prefix; postings of one group alone are dropped. First each
+   group meets the leader of each of its postings only (the group whose rarest shingle is the
+   least rare: the original of a family of near copies), and each member the head of its group. Links
+   verified there form classes, so a family of any size costs a few pairs for each member.
+4. Then the postings are kept once for each (shingle, class). Those that stay within one class
+   produce nothing more; the others give pairs of groups of different classes, filtered by
    size and position.
-5. Pairs of classes are expanded to their members in a join whose condition tests sizes and bitmaps (the
+5. These are expanded to their members in a join whose condition tests sizes and bitmaps (the
    parity difference is a lower bound of the symmetric difference, so nothing is lost), and what
    passes is verified on whole sets. All verified links give the components.
 
@@ -41,11 +43,9 @@ from .common import bounded, byte_table, components, cut, pieces, prefix_hash, s
 
 SHINGLE = 5
 SKETCH_BITS = 18
-MINHASHES = 8
-ID_BITS = 26  # of the bitmap of documents to verify: 2**26 bits are 8 MB
+MOST_BITS = 30  # of the bitmap of documents to verify: 8 bits for each, 128 MB at most
 _VALUES = byte_table(lower=True)
 _WEIGHTS = splitmix(np.arange(1000, 1000 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
-_SALTS = splitmix(np.arange(2000, 2000 + MINHASHES, dtype=np.uint64))
 _LOW = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
 
 
@@ -103,23 +103,22 @@ def bitmap_words(n: int) -> int:
 
 
 def _signature(s: np.ndarray) -> tuple:
-    """n, two fingerprints, prefix fingerprint, prefix, min-hashes and parity bitmap of a sorted set."""
+    """n, two fingerprints, prefix fingerprint, prefix and parity bitmap of a sorted set."""
     n = len(s)
     if n == 0:
-        return 0, 0, 0, 0, [], [], []
+        return 0, 0, 0, 0, [], []
     m = splitmix(s)
     prefix = s[: n - (4 * n + 4) // 5 + 1]
     size = bitmap_words(n)
     bits = np.bincount((m & np.uint64(64 * size - 1)).astype(np.int64), minlength=64 * size).astype(np.uint8) & 1
     parity = np.packbits(bits, bitorder="little").view(np.int64)
-    mins = [(m ^ salt).min() for salt in _SALTS]
     fold = lambda x: int(x.view(np.int64))
-    return n, fold(m.sum()), fold(np.bitwise_xor.reduce(splitmix(m))), fold(splitmix(prefix).sum()), prefix.view(np.int64), np.array(mins).view(np.int64), parity
+    return n, fold(m.sum()), fold(np.bitwise_xor.reduce(splitmix(m))), fold(splitmix(prefix).sum()), prefix.view(np.int64), parity
 
 
 def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # 8 * 2**SKETCH_BITS bytes
-    names = ["doc_id", "n", "f1", "f2", "fp", "prefix", "mins", "parity"]
+    names = ["doc_id", "n", "f1", "f2", "fp", "prefix", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +133,7 @@ def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                     arrays.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.asarray(x, np.int64) for x in c]))))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, fp long, prefix array<long>, mins array<long>, parity array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, fp long, prefix array<long>, parity array<long>")
 
 
 def _difference(a: str, b: str) -> Column:
@@ -145,9 +144,9 @@ def _difference(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
 
 
-def _unsigned(name: str) -> Column:
+def _unsigned(column: Column) -> Column:
     """A signed long that orders as the unsigned one does."""
-    return F.col(name).bitwiseXOR(F.lit(-(1 << 63)))
+    return column.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def filtered(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -177,10 +176,12 @@ def expanded(near: DataFrame, grouped: DataFrame, reps: DataFrame, piece: int =
 
 
 def _id_bits(ids: DataFrame) -> np.ndarray:
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
+    """A bitmap with the ids' hashes: 8 bits for each, a power of two, 2**MOST_BITS at most."""
+    width = min(MOST_BITS, max(20, (8 * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << width))
     rows = ids.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    found = np.zeros((1 << ID_BITS) // 8, np.uint8)
-    for r in rows.toLocalIterator():  # at most 2**ID_BITS bits
+    found = np.zeros((1 << width) // 8, np.uint8)
+    for r in rows.toLocalIterator():  # at most 2**MOST_BITS bits
         found[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return found
 
@@ -188,8 +189,9 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, counted on the whole sets of both."""
     pairs = stored(pairs, "ngram-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_id_bits(ids))
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    found = _id_bits(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -201,7 +203,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                 sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
 
-    wanted = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)))
+    wanted = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(found))))
     sets = wanted.mapInArrow(run, "doc_id long, hashes binary").withColumn("size", (F.length("hashes") / 8).cast("long"))
     # a repeated doc_id may have several texts; the representative's is the one of its size
     sets = sets.join(reps.select("doc_id", F.col("n").alias("size")), ["doc_id", "size"]).dropDuplicates(["doc_id"])
@@ -229,34 +231,37 @@ def classes(docs: DataFrame) -> DataFrame:
     sig = stored(signatures(docs, frequency_rank(docs)), "ngram-signatures")
     known = docs.where("doc_id is not null")
 
-    # one row for each doc_id, then one representative for each distinct set
-    own = sig.where("doc_id is not null and n > 0").select("doc_id", "n", "f1", "f2").groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("s")).select("doc_id", "s.*")
-    copies = cut(own.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
-    member = own.join(copies, ["n", "f1", "f2"]).select("doc_id", "rep")
-    named = copies.select(F.col("rep").alias("doc_id"), F.col("n").alias("n_"), F.col("f1").alias("f1_"), F.col("f2").alias("f2_"))
+    # one row for each doc_id, one representative for each distinct set, one group for each prefix and size
+    own = sig.where("doc_id is not null and n > 0").select("doc_id", "n", "f1", "f2", "fp").groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2", "fp")).alias("s")).select("doc_id", "s.*")
+    copies = cut(own.groupBy("n", "f1", "f2", "fp").agg(F.min("doc_id").alias("rep")))
+    member = own.join(copies.drop("fp"), ["n", "f1", "f2"]).select("doc_id", "rep")
+    heads = copies.groupBy("n", "fp").agg(F.min("rep").alias("head"))
+    named = copies.join(heads, ["n", "fp"]).select(F.col("rep").alias("doc_id"), F.col("n").alias("n_"), F.col("f1").alias("f1_"), F.col("f2").alias("f2_"), "head")
     reps = sig.join(named, "doc_id").where("n = n_ and f1 = f1_ and f2 = f2_").drop("n_", "f1_", "f2_").dropDuplicates(["doc_id"])  # by doc_id alone, so that prefixes are shuffled once
-    reps = stored(reps, "ngram-representatives")
-
-    # groups by identical prefix and size, and by each min-hash: members against the leader
-    own_keys = F.concat(F.col("mins"), F.array(F.xxhash64("n", "fp")))
-    keys = reps.select("doc_id", F.element_at("prefix", 1).alias("rarest"), F.element_at("prefix", -1).alias("last"), F.posexplode(own_keys).alias("kind", "key"))
-    leaders = keys.groupBy("kind", "key").agg(F.min("doc_id").alias("b0"), F.max_by("doc_id", _unsigned("rarest")).alias("b1"), F.max_by("doc_id", _unsigned("last")).alias("b2"), F.count("*").alias("size")).where("size > 1")
-    leaders = leaders.select("kind", "key", F.explode(F.array_distinct(F.array("b0", "b1", "b2"))).alias("b"))
-    stars = keys.select("doc_id", "kind", "key").join(leaders, ["kind", "key"]).where("doc_id <> b").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+    reps = stored(reps.select("doc_id", "head", "n", "prefix", "parity"), "ngram-representatives")
+
+    # postings of groups. code: size, and whether the shingle is within the shorter prefix that the smaller set of a pair needs
+    posts = reps.where("doc_id = head").select("head", "n", _unsigned(F.element_at("prefix", 1)).alias("rarest"), F.posexplode("prefix").alias("at", "shingle"))
+    posts = posts.select("shingle", "head", "rarest", (2 * F.col("n") + (F.col("at") < F.expr("n - (8 * n + 8) div 9 + 1")).cast("long")).alias("code")).repartition("shingle")
+    leaders = posts.groupBy("shingle").agg(F.max_by("head", "rarest").alias("leader"), F.max_by("code", "rarest").alias("leads"), F.count("*").alias("held")).where("held > 1")
+    posts = stored(posts.join(leaders.select("shingle", "leader", "leads"), "shingle").select("shingle", "head", "code", "leader", "leads"), "ngram-postings")
+
+    # each group against the leaders of its postings, each member against its group's head
+    near = posts.where("head <> leader and 5 * (code div 2) >= 4 * (leads div 2) and 5 * (leads div 2) >= 4 * (code div 2)").select(F.greatest("head", "leader").alias("a"), F.least("head", "leader").alias("b"))
+    stars = near.distinct().union(reps.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
     first = cut(verified(filtered(stars, reps).select("a", "b"), known, reps))
     group = components(first)
-    grouped = cut(reps.select("doc_id", "n").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("class")))
-
-    # postings once for each shingle and class; in_index: within the shorter prefix that the smaller set of a pair needs
-    posts = reps.select("doc_id", "prefix").join(grouped, "doc_id").select("class", "n", F.posexplode("prefix").alias("at", "shingle"))
-    posts = posts.select("shingle", "class", "n", (F.col("at") < F.expr("n - (8 * n + 8) div 9 + 1")).alias("in_index"))
-    posts = posts.repartition("shingle").groupBy("shingle", "class").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("in_index").alias("in_index"))
-    wide = posts.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    posts = cut(posts.join(wide, "shingle").select("shingle", "class", "least", "most", "in_index"))
-    x, y = (posts.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "least", "most", "in_index"))) for s in "xy")
-    near = x.join(y, "shingle").where("class_x < class_y and 5 * most_x >= 4 * least_y and 5 * most_y >= 4 * least_x and (in_index_x or in_index_y)")
+    grouped = cut(reps.select("doc_id", "head", "n").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "head", "n", F.coalesce("component", "doc_id").alias("class")))
+
+    # pairs of classes whose groups share a posting
+    held = posts.select("shingle", "head", "code").join(grouped.select("head", "class").distinct(), "head")
+    held = held.repartition("shingle").groupBy("shingle", "class").agg(F.min("code").alias("least"), F.max("code").alias("most"), F.max(F.col("code") % 2).alias("in_index"))
+    wide = held.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    held = cut(held.join(wide, "shingle").select("shingle", "class", F.expr("least div 2").alias("least"), F.expr("most div 2").alias("most"), "in_index"))
+    x, y = (held.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "least", "most", "in_index"))) for s in "xy")
+    near = x.join(y, "shingle").where("class_x < class_y and 5 * most_x >= 4 * least_y and 5 * most_y >= 4 * least_x and in_index_x + in_index_y > 0")
     near = near.select("class_x", "class_y").distinct()
-    second = cut(verified(expanded(near, grouped, reps), known, reps))
+    second = cut(verified(expanded(near, grouped.select("doc_id", "n", "class"), reps), known, reps))
 
     final = components(first.union(second))
     named = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
