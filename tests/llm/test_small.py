@@ -365,7 +365,50 @@ def test_embeddings_in_one_cone(spark):
     assert [got[k].n_links for k in range(len(x))] == want.tolist()
     assert all(got[k].component_id == got[n + k].component_id for k in range(pairs))
     few = df.where("vec_id < 300 or vec_id >= 20000")
-    assert sorted(map(str, embedding_dedup.near_duplicates(few, block=50).collect())) == sorted(map(str, embedding_dedup.near_duplicates(few).collect()))
+    whole = sorted(map(str, embedding_dedup.near_duplicates(few).collect()))
+    for options in ({"block": 50}, {"exact": True}, {"exact": True, "block": 50}, {"window": 40, "recall": 0.9999}):
+        assert sorted(map(str, embedding_dedup.near_duplicates(few, **options).collect())) == whole, options
+
+
+def test_projection_recall():
+    """The share of pairs at the limiting cosine that the derived passes unite, at several sizes and in a cone."""
+    import numpy as np
+
+    for n, cone in ((10_000, 0.0), (60_000, 0.0), (20_000, 0.7)):
+        rng = np.random.default_rng(n)
+        x, pairs, d = rng.standard_normal((n, 32)).astype(np.float32).astype(float), 400, 32
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        centre = np.zeros(d)
+        centre[0] = 1
+        x = np.sqrt(1 - cone) * x + np.sqrt(cone) * centre
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.standard_normal((pairs, d))
+        side -= (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        x = np.concatenate([x, 0.905 * x[:pairs] + np.sqrt(1 - 0.905**2) * side])
+        mean = x.mean(0)
+        passes = embedding_dedup.passes_for(len(x), 256, 0.9, float(mean @ mean), 0.99)
+        near = np.zeros(pairs, bool)
+        for p in range(passes):
+            place = np.argsort(np.argsort(embedding_dedup.signature(x, mean, p), kind="stable"))
+            near |= np.abs(place[:pairs] - place[n:]) <= 256
+        assert near.mean() >= 0.98, (n, cone, passes, near.mean())
+
+
+def test_windows_unite_what_brute_force_does():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((40, 6)), 5, axis=0) + 0.3 * rng.standard_normal((200, 6))
+    x = x[rng.permutation(200)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for window in (1, 7, 60, 300):
+        label = np.arange(200)
+        for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True):
+            if 0 < i - j <= window:
+                label = embedding_dedup.merge(label, np.array([i]), np.array([j]))
+        got = embedding_dedup.merge(np.arange(200), *embedding_dedup.linked(x, window, 0.9))
+        assert (got == label).all(), window
 
 
 def test_pii_terms_at_any_distance(spark):
