@@ -3,8 +3,10 @@
 Golden-ratio points (i * K mod M) are mapped through the cumulative weights of the
 sources; the slots that fall to a source are ranked, and slot r of a source draws block
 r mod n of the n equal-token blocks of that source's shuffled documents. A source stops
-when its target is reached (its last block is cut there); a source for which the points
-leave too few slots gets the missing ones at the end of the schedule.
+when its target is reached (its last block is cut there), and the points go on until every
+source has stopped. What a document gives, and where it first comes in the mix, is summed up from these slots alone.
+
+A block has 256 words, or as many more as keep the schedule within 2**26 blocks.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last;
 a null doc_id shuffles as the word 'null'; repeated rows are documents of their own;
@@ -63,6 +65,19 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repea
     return s.select("sid", "source", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
+def block_size(targets: DataFrame, least: int = 256, most_blocks: int = 1 << 26) -> int:
+    """Words of a block."""
+    total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    return max(least, -(-int(total) // most_blocks))
+
+
+def _hits(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """slot, sid, chunk: the source into whose part of the cumulative weights each point falls."""
+    points = points.select(F.col("id").alias("slot"), ((F.col("id") % POINTS) * STEP % POINTS).alias("x"))
+    points = points.withColumn("high", F.expr(f"x >> {SHIFT}"))
+    return points.join(ranges, "high").where("x >= lo and x < hi").select("slot", "sid", F.expr(f"slot div {CHUNK}").alias("chunk"))
+
+
 def schedule(targets: DataFrame, block: int = 256) -> DataFrame:
     """One row per slot: slot (its order), sid, rank, epoch, block_no, words (that it takes from the block).
 
@@ -78,20 +93,22 @@ def schedule(targets: DataFrame, block: int = 256) -> DataFrame:
     cutpoint = lambda x: _div(x * F.lit(POINTS).cast(_DEC), F.col("all_need")).cast("long")
     s = s.withColumn("lo", cutpoint(F.col("upto") - F.col("need"))).withColumn("hi", cutpoint(F.col("upto")))
     s = cut(s.select("sid", "source_size", "want", "blocks", "need", "lo", "hi"))
-    n = s.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
-    ranges = s.where("hi > lo").withColumn("high", F.explode(F.expr(f"sequence(lo >> {SHIFT}, (hi - 1) >> {SHIFT})")))
-    points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % POINTS) * STEP % POINTS).alias("x"))
-    points = points.withColumn("high", F.expr(f"x >> {SHIFT}"))
-    hit = points.join(ranges, "high").where("x >= lo and x < hi").select("slot", "sid", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    past = s.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
+    ranges = cut(s.withColumn("high", F.explode(F.expr(f"sequence(lo >> {SHIFT}, (hi - 1) >> {SHIFT})"))).select("sid", "lo", "hi", "high"))
+    hit = cut(_hits(spark.range(past), ranges))
+    while True:  # gaps between the points shrink as their number grows, so each source gets its slots
+        got = hit.groupBy("sid").agg(F.count("*").alias("got"))
+        short = cut(s.join(got, "sid", "left").where("coalesce(got, 0) < need").select("sid"))
+        if short.isEmpty():
+            break
+        hit = cut(hit.unionByName(_hits(spark.range(past, 2 * past + 64), ranges.join(short, "sid", "left_semi"))))
+        past = 2 * past + 64
     counts = hit.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     local = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = hit.withColumn("local", local).join(counts, ["sid", "chunk"]).select("slot", "sid", (F.col("base") + F.col("local")).alias("rank"))
-    got = hit.groupBy("sid").agg(F.count("*").alias("got"))
-    late = s.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
-    late = late.select(F.col("sid"), F.explode(F.expr("sequence(got, need - 1)")).alias("rank")).select((F.lit(n) + F.col("rank")).alias("slot"), "sid", "rank")
-    slots = ranked.unionByName(late).join(s, "sid").where("rank < need")
+    slots = ranked.join(s, "sid").where("rank < need")
     slots = slots.select("slot", "sid", "rank", F.expr("rank div blocks").alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block_no"), "source_size", "want")
     start = F.col("epoch") * F.col("source_size") + F.col("block_no") * block
     whole = F.least(F.lit(block), F.col("source_size") - F.col("block_no") * block)
@@ -111,20 +128,23 @@ def positions(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return d.join(sums, ["sid", "bucket"]).withColumn("first", F.col("base") + F.col("before")).withColumn("row", F.monotonically_increasing_id())
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int = 256) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document (see the module's text)."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block: int | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot (the first slot that draws from the document, null if none) for every document."""
     sized = cut(sizes(docs))
     targets = cut(source_targets(sized, weights, repeats))
+    block = block or block_size(targets)
+    whole = F.col("words") == F.col("whole")
     slots = schedule(targets, block)
-    draws = slots.groupBy("sid", "block_no").agg(F.sum((F.col("words") == F.col("whole")).cast("long")).alias("times"), F.sum(F.when(F.col("words") < F.col("whole"), F.col("words")).otherwise(0)).alias("part"))
+    draws = slots.groupBy("sid", "block_no").agg(F.sum(whole.cast("long")).alias("times"), F.sum(F.when(whole, 0).otherwise(F.col("words"))).alias("part"), F.min(F.when(whole, F.col("slot"))).alias("whole_slot"), F.min(F.when(~whole, F.col("slot"))).alias("part_slot"))
     d = cut(positions(sized, targets))
     per = d.where("size > 0").select("row", "sid", "first", "size", F.explode(F.expr(f"sequence(first div {block}, (first + size - 1) div {block})")).alias("block_no"))
     per = per.join(draws, ["sid", "block_no"])
     begin, end, at = F.greatest(F.col("first"), F.col("block_no") * block), F.least(F.col("first") + F.col("size"), (F.col("block_no") + 1) * block), F.col("block_no") * block
-    taken = F.col("times") * (end - begin) + F.greatest(F.lit(0), F.least(end, at + F.col("part")) - begin)
-    taken = per.groupBy("row").agg(F.sum(taken).alias("taken"))
+    reached = F.greatest(F.lit(0), F.least(end, at + F.col("part")) - begin)
+    first_slot = F.least("whole_slot", F.when(reached > 0, F.col("part_slot")))
+    taken = per.groupBy("row").agg(F.sum(F.col("times") * (end - begin) + reached).alias("taken"), F.min(first_slot).alias("first_slot"))
     out = d.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("first_slot").cast("long").alias("first_slot"))
 
 
 SQL = r"""
@@ -140,11 +160,25 @@ f AS (SELECT *, min(((total - cap_before) * weight >= cap * (all_weight - weight
 t AS (SELECT source, sid, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE
              (weight * (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)))::DOUBLE
              / (all_weight - coalesce(sum(CASE WHEN capped THEN weight END) OVER (), 0))::DOUBLE END AS target FROM f),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-             coalesce(sum(d.size) OVER (PARTITION BY t.sid ORDER BY d.shuffle, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE ((floor(target)::HUGEINT // source_size) * size
-         + greatest(0, least(size, floor(target)::HUGEINT % source_size - first))) END::BIGINT AS taken
-FROM p
+p AS (SELECT row_number() OVER () AS r, d.doc_id, d.size, t.sid, t.source_size, t.target,
+             coalesce(sum(d.size) OVER (PARTITION BY t.sid ORDER BY d.shuffle, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT greatest(256, ceil(coalesce(sum(size), 0) / 67108864))::BIGINT AS block FROM d),
+k AS (SELECT sid, source_size::BIGINT AS source_size, floor(target)::BIGINT AS want, block, (source_size::BIGINT + block - 1) // block AS blocks FROM t, b WHERE source_size > 0 AND target >= 1),
+q AS (SELECT *, (want // source_size) * blocks + (want % source_size + block - 1) // block AS need FROM k),
+u AS (SELECT *, sum(need) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(need) OVER () AS all_need FROM q),
+g AS (SELECT *, (upto - need) * 2147483648 // all_need AS lo, upto * 2147483648 // all_need AS hi FROM u),
+x AS (SELECT i AS slot, (i % 2147483648) * 1327217885 % 2147483648 AS x FROM (SELECT unnest(range(0, (SELECT 8 * sum(need) + 64 FROM q)::BIGINT)) AS i)),
+h AS (SELECT slot, g.*, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM x JOIN g ON x.x >= lo AND x.x < hi QUALIFY rank < need),
+z AS (SELECT slot, sid, rank % blocks AS block_no, least(block, source_size - (rank % blocks) * block) AS whole,
+             least(block, source_size - (rank % blocks) * block, want - (rank // blocks) * source_size - (rank % blocks) * block) AS words FROM h),
+y AS (SELECT sid, block_no, sum((words = whole)::INT) AS times, sum(CASE WHEN words < whole THEN words ELSE 0 END) AS part,
+             min(CASE WHEN words = whole THEN slot END) AS whole_slot, min(CASE WHEN words < whole THEN slot END) AS part_slot FROM z GROUP BY sid, block_no),
+e AS (SELECT r, sid, block_no, greatest(first, block_no * block) AS lo, least(first + size, (block_no + 1) * block) AS hi, block_no * block AS origin
+      FROM (SELECT r, sid, first, size, block, unnest(range(first // block, (first + size - 1) // block + 1)) AS block_no FROM p, b WHERE size > 0)),
+w2 AS (SELECT r, sum(times * (hi - lo) + greatest(0, least(hi, origin + part) - lo)) AS taken,
+              min(least(whole_slot, CASE WHEN least(hi, origin + part) > lo THEN part_slot END)) AS first_slot
+       FROM e JOIN y USING (sid, block_no) GROUP BY r)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot
+FROM p LEFT JOIN w2 USING (r)
 """

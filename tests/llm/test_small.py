@@ -293,6 +293,31 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0
     slots = mixing.schedule(mixing.source_targets(mixing.sizes(table(spark, rows))), 16)
     assert slots.select("slot").distinct().count() == slots.count()
+    # every slot is a golden-ratio point that falls to its source; ranks have no gap, and all sources move on together
+    rows_ = slots.orderBy("slot").collect()
+    need = {}
+    for r in rows_:
+        need[r.sid] = need.get(r.sid, 0) + 1
+    total, edges, upto = sum(need.values()), {}, 0
+    for sid in sorted(need):
+        edges[sid] = (upto * mixing.POINTS // total, (upto + need[sid]) * mixing.POINTS // total)
+        upto += need[sid]
+    seen = dict.fromkeys(need, 0)
+    for r in rows_:
+        lo, hi = edges[r.sid]
+        assert lo <= r.slot * mixing.STEP % mixing.POINTS < hi and r.rank == seen[r.sid]
+        seen[r.sid] += 1
+        if r.slot < total:
+            assert all(abs(seen[k] - (r.slot + 1) * need[k] / total) <= 4 for k in need)
+    firsts = [r.first_slot for r in got if r.taken]
+    assert None not in firsts and all(r.first_slot is None for r in got if not r.taken)
+
+
+def test_mixing_one_long_document(spark):
+    rows = [(1, prose(5000, 1), "en", "a"), (2, prose(10, 2), "en", "b"), (2, prose(10, 2), "en", "b"), (3, "w", "en", "z")]
+    got = mixing.mix(table(spark, rows)).collect()
+    assert sorted(r.size for r in got) == [1, 10, 10, 5000] and sum(r.taken for r in got if r.size == 5000) == int(next(r.target for r in got if r.size == 5000))
+    assert all(r.taken <= 3 * r.size for r in got)
 
 
 def test_language(spark):
