@@ -3,9 +3,9 @@
 Characters are lower-cased code points, everything but letters is a space, and n-grams of one
 to three of them that hold a letter are hashed into 2**BITS buckets. Counts come from the
 training documents (crc32 of the id modulo 4 is not 2, lang not null), of each language a
-sample of about `most_rows` documents chosen by a hash of the id: the bound of the fit. The
-matrix of log-probabilities (2**BITS floats for each language) is broadcast; batches are
-scored in numpy by sparse look-ups.
+sample of about `most_rows` documents chosen by a hash of the id: the bound of the fit. Only the `most_langs`
+most frequent lang values are learned, which bounds the matrix of log-probabilities
+(2**BITS floats, 256 KB, for each language) that is broadcast; batches are scored in numpy by sparse look-ups.
 
 Defined cases: a null text or one without a letter gives `und` with score 0; without training
 rows every prediction is `und`; ties go to the language that sorts first; repeated rows are
@@ -14,7 +14,6 @@ predicted row by row; extra columns are ignored. lang, source and doc_id are no
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +39,10 @@ def _letters() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
     """For n = 1, 2, 3: (bucket of the n-gram that ends at each place, whether it counts); the places of each text; the letters of each text."""
-    lowered = [t.lower() for t in texts]
+    lowered = [f"  {t.lower()}  " for t in texts]  # so that no n-gram reaches into another text
     offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) + 1 for t in lowered], out=offsets[1:])
-    code = np.frombuffer("".join(t + " " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    np.cumsum([len(t) for t in lowered], out=offsets[1:])
+    code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[code]
     c = np.where(letter, code, 32).astype(np.uint64)
     found = []
@@ -113,14 +112,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, most_rows: int = 5000, smoothing: float = 0.5) -> Model:
+def train(docs: DataFrame, most_rows: int = 5000, smoothing: float = 0.5, most_langs: int = 400) -> Model:
     rows = bounded(docs).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
-    share = F.lit(0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, int(min(1.0, most_rows / sizes[lang]) * (1 << 20))).otherwise(share)
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    spark = docs.sparkSession
+    # the hash of an id lies below the bound for a share most_rows / size of all ids
+    bounds = spark.createDataFrame([(x, int(min(1.0, most_rows / sizes[x]) * 2.0**63) * 2 - 2**63 - (sizes[x] <= most_rows)) for x in langs], "lang string, bound long")
+    rows = rows.join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id") <= F.col("bound"))  # most_langs rows
     width = (1 << BITS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +156,3 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     out = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
-
-
-def crc_of(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
