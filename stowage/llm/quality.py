@@ -2,7 +2,8 @@
 
 Statistics of each whole text (sizes, shares of character classes, repetition of words and
 lines) are computed in one pass of numpy over Arrow batches. Class means and covariances are
-exact sums over all labelled training rows, added up by Spark; only 2 * (1 + d + d*d) numbers
+exact sums over the labelled training rows, of more than `most_rows` a sample of about that number
+chosen by a hash of the id (the bound of the fit), added up by Spark; only 2 * (1 + d + d*d) numbers
 reach the driver. Covariances are shrunk towards the pooled one and a multiple of the
 identity, their Cholesky factors are inverted once and kept in the model, and a score is the
 logistic of the difference of Mahalanobis log-densities plus the log prior ratio.
@@ -165,17 +166,28 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def train(feats: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fits on the labelled rows whose remainder modulo 3 is not 1."""
+MOST_ROWS = 100_000
+
+
+def labelled(rows: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows that may train (remainder modulo 3 not 1, a hash of the id below the bound of the sample), and their labels (doc_id, y)."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where("y in (0, 1) and doc_id is not null")
-    y = y.where(remainder(F.col("doc_id"), 3) != 1)
-    return fit(feats.join(y, "doc_id"))
+    trains = remainder(F.col("doc_id"), 3) != 1
+    n = y.where(trains).count()
+    if n > most_rows:
+        trains &= F.xxhash64(F.col("doc_id").cast("long")) < F.lit(int(most_rows / n * 2.0**64) - 2**63)
+    return rows.where(trains), y.where(trains)
+
+
+def train(feats: DataFrame, labels: DataFrame) -> Discriminant:
+    """Fits on rows (doc_id, x) and their labels (doc_id, y)."""
+    return fit(feats.join(labels, "doc_id"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     feats = stored(features(docs), "quality-features")
-    model = docs.sparkSession.sparkContext.broadcast(train(feats, labels))  # two D x D matrices
+    model = docs.sparkSession.sparkContext.broadcast(train(*labelled(feats, labels)))  # two D x D matrices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +200,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs predicted to be of quality 1, every column kept; texts are filtered in place, not shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(train(features(docs), labels))
+    rows, y = labelled(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast(train(features(rows), y))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
