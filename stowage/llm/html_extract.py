@@ -1,10 +1,11 @@
 """Main-text extraction from HTML by tree scoring.
 
 A lenient parser builds the element tree. Every paragraph passes points for its length and
-commas to its ancestors (all to the parent, half to the grandparent, less further up); an
+commas to all its ancestors (all to the parent, half to the grandparent, half as much with every further step); an
 element's points are discounted by the share of its text inside links and moved by what its
-tag, class and id say. The best container is kept, with those of its siblings that score well
-or read like prose. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+tag, class and id say. The best container is kept; where its siblings, or those of an ancestor, hold at least
+half as much prose as it does, the ancestor stands for it. Siblings of what is kept stay too if they
+score well, read like prose or are headings, quotations, lists, tables or figures with few links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are cut out before scoring. Where only a name of class or id says so,
 the element stays, with points taken off, if another name calls it content, if it holds a main
 or an article of some prose (not a card of links), or if it has `MUCH` characters outside links and few in them; reader comments stay
@@ -36,6 +37,9 @@ RAW = frozenset("script style title textarea noscript iframe xmp noembed noframe
 CUT = frozenset("nav footer aside form button select template svg math object canvas audio video map dialog menu datalist head script style noscript iframe textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Kinds of blocks that belong to the text around them unless they are made of links.
+KEPT = HEADING | frozenset("blockquote pre ul ol dl table figure p".split())
+PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 #: An opening tag closes an open element of these kinds, up to the nearest of the stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BAD_NAMES = frozenset("ad ads advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
@@ -44,20 +48,21 @@ READERS = frozenset("comment comments commentlist disqus replies reply respond".
 MUCH = 600
 GOOD_NAMES = frozenset("article body content entry main page post story text".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?")
-_ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+#: Quotes delimit a value only right after the equals sign; elsewhere they are characters of a name or of an unquoted value.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+|=)*+)>?""")
+_ATTR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?""")
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "cut", "doubt", "length", "links", "name_weight", "parent", "points", "tag")
+    __slots__ = ("children", "cut", "doubt", "length", "links", "name_weight", "parent", "points", "prose", "tag")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, name_weight: int) -> None:
         self.tag, self.parent, self.cut, self.name_weight = tag, parent, cut, name_weight
         self.children: list[Node | str] = []
         self.doubt = 0
         self.points = 0.0
-        self.length = self.links = 0
+        self.length = self.links = self.prose = 0
 
 
 def _judged(tag: str, attrs: str) -> tuple[bool, int, int]:
@@ -217,27 +222,26 @@ def _score(root: Node) -> list[Node]:
     nodes = _walk(root)
     for node in reversed(nodes):  # children before parents
         own = "".join(c for c in node.children if isinstance(c, str))
+        direct = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         node.length += len(own.strip())
         if node.tag == "a":
             node.links = node.length
+        passed = node.points  # what the children passed to this element
+        if node.length >= 25 and (node.tag in PARAGRAPH - {"li", "dd"} or (node.tag in ("div", "section", "article", "main", "body", "li", "dd") and direct >= 25)):
+            text = "".join(c if isinstance(c, str) else " " for c in node.children)
+            commas = text.count(",") + text.count("、") + text.count("，")
+            points = (1 + commas + min(node.length / 100, 3)) * (1 - node.links / node.length)
+            node.prose = node.length - node.links
+            if node.tag not in PARAGRAPH:
+                node.points += points  # text of its own: its own container
+                points /= 2
+        else:
+            points = 0.0
         if node.parent is not None:
             node.parent.length += node.length
             node.parent.links += node.links
-    for node in nodes:
-        direct = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        paragraph = node.tag in ("p", "pre", "blockquote", "td") or (node.tag in ("div", "section", "article", "main", "body", "li", "dd") and direct >= 25)
-        if not paragraph or node.length < 25:
-            continue
-        text = "".join(c if isinstance(c, str) else " " for c in node.children)
-        commas = text.count(",") + text.count("、") + text.count("，")
-        points = (1 + commas + min(node.length / 100, 3)) * (1 - node.links / max(node.length, 1))
-        up = node.parent if node.tag in ("p", "pre", "blockquote", "td", "li", "dd") else node
-        share, level = 1.0, 0
-        while up is not None and level < 5:
-            up.points += points * share
-            level += 1
-            share = 0.5 if level == 1 else 1 / (3 * level)
-            up = up.parent
+            node.parent.prose += node.prose
+            node.parent.points += points + passed / 2
     return nodes
 
 
@@ -255,32 +259,54 @@ def main_text(page: str | None) -> str:
     return _main_text(parse(page)) or _main_text(parse(page, by_name=False))
 
 
+def _belongs(c: Node, top: float) -> bool:
+    """Whether a sibling of the best container is kept."""
+    if not c.length:
+        return False
+    density = c.links / c.length
+    return (c.tag in KEPT and density < 0.33) or _value(c) >= max(0.2 * top, 1) or (c.prose >= 80 and density < 0.25)
+
+
 def _main_text(root: Node) -> str:
     nodes = _score(root)
     best, top = None, 0.0
     for node in nodes:
-        if node.tag != "#root" and (v := _value(node)) > top:
+        if node.tag not in ("#root", "html") and (v := _value(node)) > top:
             best, top = node, v
     if best is None:  # no paragraph: an article, else the whole page without links
         found = next((x for x in nodes if x.tag in ("article", "main") and x.length), None) or next((x for x in nodes if x.tag == "body"), root)
         return "\n".join(blocks(found))
-    up = best.parent
-    while up is not None:  # a container inside an article or main stands for it
+    up, path = best.parent, best
+    while up is not None:  # a container inside an article or main stands for it, and so does one of several that share the prose
         if up.tag in ("article", "main") and up.links <= 0.5 * max(up.length, 1):
             best = up
             top = max(top, _value(up))
-        up = up.parent
+        elif up.tag not in ("body", "html", "#root"):
+            beside = sum(c.prose for c in up.children if isinstance(c, Node) and not c.cut and c is not path and c.links < 0.25 * max(c.length, 1))
+            if 2 * beside >= max(path.prose, 1) and up.links <= 0.25 * max(up.length, 1):
+                best = up
+        up, path = up.parent, up
     if best.parent is None or best.tag in ("article", "main", "body"):
         also = [best] if best.tag != "article" or best.parent is None else [c for c in best.parent.children if isinstance(c, Node) and not c.cut and (c is best or c.tag == "article" and _value(c) >= 0.2 * top)]
         return "\n".join(t for x in also for t in blocks(x))
     out: list[str] = []
+    run = Node("span", None, False, 0)  # text and inline elements between the blocks
+
+    def flush() -> None:
+        if len("".join(found := blocks(run))) >= 25 and run.links < 0.25 * run.length:
+            out.extend(found)
+        run.children, run.length, run.links = [], 0, 0
+
     for c in best.parent.children:
-        if not isinstance(c, Node) or c.cut:
+        if c is not best and (isinstance(c, str) or not c.cut and c.tag not in BLOCK):
+            run.children.append(c)
+            run.length += len(c.strip()) if isinstance(c, str) else c.length
+            run.links += 0 if isinstance(c, str) else c.links
             continue
-        density = c.links / max(c.length, 1)
-        prose = c.tag == "p" and (c.length > 80 and density < 0.25 or c.length <= 80 and not c.links and c.length > 0)
-        if c is best or _value(c) >= max(10, 0.2 * top) or prose or (c.tag in HEADING and density < 0.25):
+        flush()
+        if not c.cut and (c is best or _belongs(c, top)):
             out += blocks(c)
+    flush()
     return "\n".join(out)
 
 
