@@ -1,10 +1,16 @@
 """Secret scans by assignment-aware lexing.
 
 Fixed patterns give the base findings. Beyond them, source and configuration syntax is lexed
-into name-literal pairs (name = "x", "name": 'x', name := x, name => x, --name x, NAME=x,
-concatenations with +), constants are propagated through names used later in the same text,
-and a literal is reported when the name that it reaches is sensitive and the literal looks
-like a secret rather than a placeholder, a path or prose.
+into name-literal pairs:
+
+    name = "x"   "name": 'x'   name := x   name => x   NAME=x   --name x   table["name"] = "x"
+    strings of triple quotes   concatenations with + and ..   lists [ "x", "y" ]   calls set_name("x")
+    put("name", "x")   <add key="name" value="x"/>   name: n / value: x   <name>x</name>   YAML blocks name: |
+
+Constants are propagated through names used later in the same text, and a literal is reported
+when the name that it reaches is sensitive and the literal looks like a secret rather than a
+placeholder, a path or prose. Comments, and strings that hold assignments themselves, are lexed like code:
+what is commented out or nested leaks all the same.
 
 A concatenation is read once, part by part, and a name in it stands for what it held then; each
 literal is judged once, when the first sensitive name reaches it. So work is linear in the
@@ -38,11 +44,19 @@ _HEX = bytes(120 if 48 <= b < 58 or 97 <= b < 103 else 32 for b in range(256))
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Words of sensitive names and their weights; a name is reported from a score of 2 on.
-SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "bearer": 2, "private": 1, "api": 1, "access": 1, "key": 1, "client": 0, "signing": 1, "encryption": 1, "session": 1, "jwt": 2, "salt": 1, "cert": 1}
+SENSITIVE = {"password": 3, "passwords": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "secret": 3, "secrets": 3, "token": 2, "tokens": 2, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "bearer": 2, "private": 1, "api": 1, "access": 1, "key": 1, "client": 0, "signing": 1, "encryption": 1, "session": 1, "jwt": 2, "salt": 1, "cert": 1}
 HARMLESS = {"count": 3, "length": 3, "limit": 3, "max": 2, "min": 2, "file": 2, "path": 2, "url": 3, "uri": 3, "name": 2, "type": 3, "id": 1, "ttl": 3, "expiry": 3, "field": 2, "label": 3, "hint": 3, "public": 3, "policy": 3, "index": 2, "column": 2, "prompt": 3}
 _PLACEHOLDER = re.compile(r"(?i)(change.?me|example|placeholder|your|dummy|sample|redacted|none|null|true|false|undefined|x{4,}|\*{3,}|\.{3,}|todo|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})")
-_PAIR = re.compile(r"""(?<![\w.\-])(?:--)?["']?([A-Za-z_][\w.\-]*+)["']?[ \t]*+(?::=|=>|=(?!=)|:(?![:/])|(?<=[\w])[ \t](?=["']))[ \t]*+""")
-_VALUE = re.compile(r"""(?:[bru]{0,2}"((?:[^"\\\n]|\\.)*+)"|[bru]{0,2}'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|(\$\{?)?([A-Za-z0-9+/_.=\-]++)\}?)""", re.A)
+#: What a value may follow: a name (in quotes or a subscript, too) and a sign, an opening call, a comma after a quoted name, or the space after a flag.
+_TARGET = re.compile(r"""(?<![\w.\-])(--)?(["']?)([A-Za-z_][\w.\-]*+)(["']?)\]?(?:[ \t]*+(?P<sign>:=|=>|=(?!=)|:(?![:/]))|[ \t]*+(?P<call>\()|(?P<comma>,)(?=[ \t]*+["'])|(?P<flag>[ \t]))[ \t]*+""")
+_VALUE = re.compile(r'''(?:[bBrRuUfF]{0,2}"""((?:[^"\\]|\\(?s:.)|"(?!""))*+)"""|[bBrRuUfF]{0,2}"((?:[^"\\\n]|\\.)*+)"|[bBrRuUfF]{0,2}'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|(\$\{?)?([A-Za-z0-9+/_.=\-]++)\}?)''', re.A)
+_YAML = re.compile(r"[|>][+-]?\d?[ \t]*\n((?:[ \t]++[^\n]*+(?:\n|\Z)|[ \t]*+\n)++)")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.\-:]*+)(?:\s[^<>]*+)?>([^<>\n]++)</")
+_QUOTES = ("'", '"', "`")
+_COMMA = re.compile(r"\s*+,\s*+")
+_BESIDE = re.compile(r"""["'\s,]*""")
+#: Names whose literal is itself the name of the value beside it.
+_KEYS, _VALUES = frozenset(("key", "name", "id", "property", "field", "variable")), frozenset(("value", "val", "content"))
 _PLUS = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -68,8 +82,13 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(p, 0) for p in joined) - sum(HARMLESS.get(p, 0) for p in parts)
 
 
+_HINT = re.compile("|".join(sorted((w for w, n in SENSITIVE.items() if n), key=len, reverse=True)))
+
+
 def literal_score(value: str, quoted: bool) -> float:
     """Entropy for each character, none for placeholders, prose and short values."""
+    if "PRIVATE KEY-----" in value:
+        return 6.0
     if len(value) < 6 or _PLACEHOLDER.search(value) or value.count(" ") > 2:
         return 0.0
     if not quoted and not (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
@@ -78,49 +97,137 @@ def literal_score(value: str, quoted: bool) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def literal_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of literals that reach a sensitive name, by way of constants too."""
-    if not any(c in text for c in "=:\"'") or not any(name_score(m[1]) >= 2 for m in _PAIR.finditer(text)):
-        return []
-    parts: list[list] = []  # of concatenations: [literal, part that a name stands for, next part, whether any literal is in reach]
-    begun: dict[int, int] = {}  # the part that begins at each place
-    known: dict[str, int] = {}
-    judged: set[int] = set()
-    found: set[tuple[int, str, int]] = set()
-    for m in _PAIR.finditer(text):
-        at, own, follows = m.end(), [], None
-        while v := _VALUE.match(text, at):
-            if (follows := begun.get(at)) is not None:
+class _Parts:
+    """Values and concatenations of one text, each read once: [literal, part that a name stands for, next part, whether any literal is in reach]."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.all: list[list] = []
+        self.begun: dict[int, tuple[int, int]] = {}  # the part that begins at each place, and where its value ends
+        self.known: dict[str, int] = {}
+        self.judged: set[int] = set()
+        self.found: set[tuple[int, str, int]] = set()
+
+    def read(self, at: int) -> tuple[int | None, int]:
+        """The first part of the value at a place, None if no literal is in its reach; and the end of the value."""
+        own, follows, end = [], None, at
+        while v := _VALUE.match(self.text, at):
+            if at in self.begun:
+                follows, end = self.begun[at]
                 break
-            k = next(i for i in (1, 2, 3, 5) if v[i] is not None)
-            name = v[5] if k == 5 else None
-            stands = known.get(name) if name is not None else None
-            literal = (v.start(k), v.end(k), k != 5) if stands is None and (name is None or not v[4]) else None
-            begun[at] = len(parts)
-            own.append(len(parts))
-            parts.append([literal, stands, None, literal is not None or stands is not None])
-            plus = _PLUS.match(text, v.end())
+            k = next(i for i in (1, 2, 3, 4, 6) if v[i] is not None)
+            name = v[6] if k == 6 else None
+            stands = self.known.get(name) if name is not None else None
+            literal = (v.start(k), v.end(k), k != 6) if stands is None and (name is None or not v[5]) else None
+            end = v.end()
+            own.append(len(self.all))
+            self.begun[at] = len(self.all), end
+            self.all.append([literal, stands, None, literal is not None or stands is not None])
+            plus = _PLUS.match(self.text, end)
             if not plus:
                 break
             at = plus.end()
         for i in reversed(own):
-            parts[i][2] = follows
-            parts[i][3] |= follows is not None and parts[follows][3]
+            self.all[i][2] = follows
+            self.all[i][3] |= follows is not None and self.all[follows][3]
             follows = i
-        if follows is None or not parts[follows][3]:
-            continue
-        known[m[1]] = follows
-        if name_score(m[1]) >= 2:
-            todo = [follows]
-            while todo:
-                if (i := todo.pop()) is None or i in judged:
-                    continue
-                judged.add(i)
-                literal, stands, after, _ = parts[i]
-                todo += [stands, after]
-                if literal is not None and literal_score(text[literal[0] : literal[1]], literal[2]) >= 2.5:
-                    found.add((literal[0], "literal", literal[1]))
-    return list(found)
+        return (follows if follows is not None and self.all[follows][3] else None), end
+
+    def literal(self, start: int, end: int, quoted: bool) -> int:
+        """A part that is one literal."""
+        self.all.append([(start, end, quoted), None, None, True])
+        return len(self.all) - 1
+
+    def judge(self, first: int, strict: bool = False) -> None:
+        """Reports the secrets in reach of a part that a sensitive name is given. strict: a quoted literal needs digits and letters, too."""
+        todo = [first]
+        while todo:
+            if (i := todo.pop()) is None or i in self.judged:
+                continue
+            self.judged.add(i)
+            literal, stands, after, _ = self.all[i]
+            todo += [stands, after]
+            if literal is not None and literal_score(self.text[literal[0] : literal[1]], literal[2] and not strict) >= 2.5:
+                self.found.add((literal[0], "literal", literal[1]))
+
+
+def _yaml_block(text: str, at: int, name_at: int) -> tuple[int, int] | None:
+    """The lines of a block scalar that are indented deeper than its name, without the outer white space."""
+    if not (m := _YAML.match(text, at)):
+        return None
+    line = text.rfind("\n", 0, name_at) + 1
+    indent = len(text[line:name_at]) - len(text[line:name_at].lstrip(" \t"))
+    end = m.start(1)
+    for row in m[1].splitlines(keepends=True):
+        if row.strip() and len(row) - len(row.lstrip(" \t")) <= indent:
+            break
+        end += len(row)
+    body = text[m.start(1) : end]
+    start = m.start(1) + len(body) - len(body.lstrip())
+    return (start, m.start(1) + len(body.rstrip())) if body.strip() else None
+
+
+def literal_spans(text: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of literals that reach a sensitive name, by way of constants too."""
+    if not _HINT.search(text.lower().replace("_", "").replace("-", "")):
+        return []
+    parts = _Parts(text)
+    beside: tuple[str, int] | None = None  # the literal of the last key, and where it ends
+    for m in _TARGET.finditer(text):
+        name, at = m[3], m.end()
+        if m["sign"]:
+            if beside is not None and name.lower() in _VALUES and _BESIDE.fullmatch(text, beside[1], m.start()):
+                name = beside[0]
+            beside = None
+            if block := _yaml_block(text, at, m.start()):
+                first, end = parts.literal(*block, True), block[1]
+            elif text.startswith("[", at):
+                at += 1
+                while at < len(text) and text[at] in " \t\r\n":
+                    at += 1
+                while True:
+                    first, end = parts.read(at)
+                    if first is not None and name_score(name) >= 2:
+                        parts.judge(first)
+                    if end == at or not (comma := _COMMA.match(text, end)):
+                        break
+                    at = comma.end()
+                continue
+            else:
+                first, end = parts.read(at)
+            if m[3].lower() in _KEYS and end > at:
+                beside = text[at:end].strip("\"'"), end
+            if first is None:
+                continue
+            parts.known[m[3]] = first
+            if name_score(name) >= 2:
+                parts.judge(first)
+        elif name_score(name) >= 2:
+            if m["flag"] and not m[1] or m["comma"] and not m[4]:
+                continue
+            while True:
+                if m["call"] and text[at : at + 1] not in _QUOTES and _name(text, at) not in parts.known:
+                    break  # words in brackets are no literals
+                first, end = parts.read(at)
+                if first is not None:
+                    parts.judge(first, strict=bool(m["comma"]))
+                if not m["call"] or end == at or not (comma := _COMMA.match(text, end)):
+                    break
+                at = comma.end()
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            if name_score(m[1]) >= 2 and (value := m[2].strip()):
+                start = m.start(2) + m[2].index(value)
+                parts.judge(parts.literal(start, start + len(value), True))
+    return list(parts.found)
+
+
+_WORD = re.compile(r"[A-Za-z_][\w.\-]*+")
+
+
+def _name(text: str, at: int) -> str | None:
+    m = _WORD.match(text, at)
+    return m[0] if m else None
 
 
 def spans_of(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
