@@ -344,14 +344,15 @@ def replaced(text: str, spans: list[tuple[int, str, int, float]], removal: float
 def sanitise(docs: DataFrame, support: int = 2, threshold: float = 0.9, removal: float = 0.99) -> DataFrame:
     """docs with entities and disclosing terms replaced in text, all other columns as they are.
 
-    Only rows with disclosing terms need a join, and of a join only (row, spans) is the other side;
-    entities are found again in the text itself.
+    Only rows with disclosing terms need a join, and of a join only (row, spans) is the other side, which is
+    written first: Spark broadcasts it while its size is within `spark.sql.autoBroadcastJoinThreshold` and
+    shuffles the texts beyond. Entities are found again in the text itself.
     """
     row = "row of docs"
     wide = bounded(docs).withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     found = find(docs.select("doc_id", "text"), support, threshold, keep=F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     extra = found.where(F.size("extra") > 0).select(F.col("row").alias(row), F.col("extra").alias("extra of row")).dropDuplicates([row])
-    wide = wide.join(extra, row, "left")
+    wide = wide.join(stored(extra, "pii-terms"), row, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
