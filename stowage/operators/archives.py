@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -275,24 +276,12 @@ def r04(spark, folder):
 
 @CATALOG.add("a18_code_lengths", "SELECT doc_id, true AS complete FROM documents WHERE length(text) > 0")
 def a18(spark, folder):
-    """Code lengths from the byte counts of a payload: counts are aggregated in Spark, only 256 numbers a payload reach the kernel."""
-    from ..functions.bits import byte_values
+    """Code lengths from the byte counts of a payload, which make a complete code."""
+    from ..functions.bytemaps import counts
     from ..functions.lz50 import code_lengths
 
-    d = read(spark, folder, "documents").select("doc_id", F.explode(byte_values(F.encode("text", "UTF-8"))).alias("byte"))
-    d = d.groupBy("doc_id", "byte").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("byte", "n")).alias("h"))
-
-    @F.pandas_udf("boolean")
-    def complete(h: pd.Series) -> pd.Series:
-        out = []
-        for rows in h:
-            f = [0] * 256
-            for r in rows:
-                f[r["byte"]] = r["n"]
-            out.append(sum(2.0**-n for n in code_lengths(f) if n) == 1.0)
-        return pd.Series(out)
-
-    return d.select("doc_id", complete("h").alias("complete"))
+    complete = binary_kernel(lambda b: sum(2.0**-n for n in code_lengths(counts(np.frombuffer(b, np.uint8)).tolist()) if n) == 1.0, "boolean")
+    return read(spark, folder, "documents").where("length(text) > 0").select("doc_id", complete(F.encode("text", "UTF-8")).alias("complete"))
 
 
 @CATALOG.add("c23_bundle_filter", "SELECT doc_id, sha256(text) AS digest FROM documents")

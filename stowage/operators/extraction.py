@@ -325,19 +325,10 @@ def r03(spark, folder):
 @CATALOG.add("r09_tagged_sector_repair", "SELECT doc_id, count(*) AS sectors FROM (SELECT doc_id, unnest(range((octet_length(encode(text)) + 63) // 64)) AS i FROM documents) WHERE i = 1 GROUP BY doc_id")
 def r09(spark, folder):
     """Sectors with a tag of 16 check bits: the damaged one of each payload is told by its tag and rebuilt from its slot."""
-    from ..functions.bits import byte_values
+    from ..functions.bytemaps import tagged
 
-    d = read(spark, folder, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"), F.octet_length("text").alias("n"))
-    d = d.withColumn("i", F.explode(F.expr("sequence(0, (n + 63) div 64 - 1)"))) .where("n > 0")
-    d = d.select("doc_id", "i", F.expr("i % 4").alias("slot"), F.rpad(F.hex(F.substr("data", F.col("i") * 64 + 1, F.lit(64))), 128, "0").alias("h"))
-    d = d.withColumn("tag", F.crc32(F.unhex("h")).bitwiseAND(65535))
-    seen = F.when(F.col("i") == 1, F.rpad(F.lit("FF"), 128, "0")).otherwise(F.col("h"))
-    d = d.withColumn("seen", seen).withColumn("bad", F.crc32(F.unhex("seen")).bitwiseAND(65535) != F.col("tag"))
-    b = d.select("doc_id", "slot", "i", "tag", "bad", F.posexplode(F.zip_with(byte_values(F.unhex("h")), byte_values(F.unhex("seen")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p", "v"))
-    g = b.groupBy("doc_id", "slot", "p").agg(F.bit_xor("v.x").alias("parity"), F.bit_xor(F.when(~F.col("bad"), F.col("v.y")).otherwise(0)).alias("rest"), F.max(F.when(F.col("bad"), F.col("tag"))).alias("tag")).where("tag is not null")
-    g = g.groupBy("doc_id", "slot").agg(F.max("tag").alias("tag"), F.array_sort(F.collect_list(F.struct("p", F.col("parity").bitwiseXOR(F.col("rest")).alias("x")))).alias("v"))
-    back = F.unhex(F.array_join(F.transform("v", lambda e: F.lpad(F.hex(e["x"]), 2, "0")), ""))
-    return g.where(F.crc32(back).bitwiseAND(65535) == F.col("tag")).groupBy("doc_id").agg(F.count("*").alias("sectors"))
+    d = read(spark, folder, "documents").select("doc_id", tagged(F.encode("text", "UTF-8")).alias("sectors")).where("sectors > 0")
+    return d.groupBy("doc_id").agg(F.sum("sectors").alias("sectors"))
 
 
 # ------------------------------------------------------------------ filter choice
@@ -566,22 +557,15 @@ def g04(spark, folder):
 
 @CATALOG.add("w07_block_splitting")
 def w07(spark, folder):
-    """Blocks of payloads by drift: byte counts of chunks are aggregated in Spark; only 256 numbers a chunk go through the ordered fold."""
+    """Blocks of payloads by drift: byte counts of a payload's chunks go through the ordered fold."""
     import numpy as np
 
     from ..functions.blocks import cuts
-    from ..functions.bits import byte_values
+    from ..functions.bytemaps import chunk_counts
 
-    d = read(spark, folder, "documents").select("doc_id", F.posexplode(byte_values(F.encode("text", "UTF-8"))).alias("i", "byte"))
-    h = d.groupBy("doc_id", F.expr("i div 4096").alias("chunk"), "byte").agg(F.count("*").alias("n"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((int(pdf.chunk.max()) + 1, 256), np.int64)
-        table[pdf.chunk, pdf.byte] = pdf.n
-        blocks = cuts(table)
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "chunk": range(len(blocks)), "block": blocks})
-
-    return h.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk long, block long").groupBy("doc_id", "block").agg(F.min("chunk").alias("first_chunk"), F.count("*").alias("chunks"))
+    blocks = binary_kernel(lambda b: cuts(chunk_counts(np.frombuffer(b, np.uint8), 4096)) if b else [], "array<long>")
+    d = read(spark, folder, "documents").select("doc_id", F.posexplode(blocks(F.encode("text", "UTF-8"))).alias("chunk", "block"))
+    return d.groupBy("doc_id", "block").agg(F.min(F.col("chunk").cast("long")).alias("first_chunk"), F.count("*").alias("chunks"))
 
 
 # ------------------------------------------------------------------ more on keys

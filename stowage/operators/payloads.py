@@ -1,6 +1,7 @@
 """Queries over payload bytes: signatures, checksums, histograms, parity, delta planes, detectors.
 
-Payloads are the whole texts of documents as UTF-8. Bytes stay inside JVM expressions.
+Payloads are the whole texts of documents as UTF-8. Checksums and detectors stay inside JVM expressions; byte
+counts, parity and delta planes go through numpy in Arrow batches, so that a byte is never a row.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..functions import bytemaps
 from ..functions.checksums import crc32_combine
 from ..plans.catalog import Catalog
 from ..sources.tables import read
@@ -58,9 +60,9 @@ def a07(spark, folder):
 
 @CATALOG.add("a10_byte_histogram", f"SELECT doc_id, x AS byte, count(*) AS n FROM (SELECT doc_id, unnest({_B}) AS x FROM documents) GROUP BY ALL")
 def a10(spark, folder):
-    """Counts of byte values of a payload; a chunk is 64 KiB at most, and longer payloads have several."""
-    d = _payload(spark, folder).select("doc_id", F.explode(B.byte_values(F.col("data"))).alias("byte"))
-    return d.groupBy("doc_id", "byte").agg(F.count("*").alias("n"))
+    """Counts of byte values of a payload."""
+    d = _payload(spark, folder).select("doc_id", F.posexplode(bytemaps.histogram("data")).alias("byte", "n")).where("n > 0")
+    return d.groupBy("doc_id", F.col("byte").cast("long").alias("byte")).agg(F.sum("n").alias("n"))
 
 
 @CATALOG.add("a16_text_bytes", f"SELECT doc_id, len(list_filter(b, lambda x: x IN (9, 10, 13) OR (x >= 32 AND x <= 126))) AS text_bytes, len(b) AS size FROM (SELECT doc_id, {_B} AS b FROM documents)")
@@ -136,33 +138,27 @@ def g02(spark, folder):
 @CATALOG.add("a12_sector_parity", f"SELECT doc_id, (i // 64) % 4 AS slot, i % 64 AS place, bit_xor(x) AS parity FROM (SELECT doc_id, unnest({_B}) AS x, unnest(range(octet_length(encode(text)))) AS i FROM documents) GROUP BY ALL")
 def a12(spark, folder):
     """Sectors of 64 bytes dealt to four slots; parity is the exclusive or of a slot's sectors, byte by byte."""
-    d = _payload(spark, folder).select("doc_id", F.posexplode(B.byte_values(F.col("data"))).alias("i", "x"))
-    return d.groupBy("doc_id", F.expr("(i div 64) % 4").alias("slot"), F.expr("i % 64").alias("place")).agg(F.bit_xor("x").alias("parity"))
+    d = _payload(spark, folder).select("doc_id", F.posexplode(bytemaps.slot_parity("data")).alias("i", "parity")).where("parity is not null")
+    return d.select("doc_id", F.expr("cast(i div 64 as long)").alias("slot"), F.expr("cast(i % 64 as long)").alias("place"), F.col("parity").cast("long").alias("parity"))
 
 
 @CATALOG.add("r10_sector_repair", f"WITH b AS (SELECT doc_id, unnest({_B}) AS x, unnest(range(octet_length(encode(text)))) AS i FROM documents) SELECT doc_id, count(*) AS repaired, sum(x * (i + 1))::BIGINT AS weighted FROM b WHERE i // 64 = 1 GROUP BY doc_id")
 def r10(spark, folder):
     """The second sector of every payload is lost and comes back from its slot's parity and the other sectors."""
-    d = _payload(spark, folder).select("doc_id", F.posexplode(B.byte_values(F.col("data"))).alias("i", "x"))
-    d = d.withColumn("slot", F.expr("(i div 64) % 4")).where("slot = 1").withColumn("place", F.expr("i % 64"))
-    g = d.groupBy("doc_id", "place").agg(F.bit_xor("x").alias("parity"), F.bit_xor(F.when(F.expr("i div 64") != 1, F.col("x")).otherwise(0)).alias("others"), F.bool_or(F.expr("i div 64") == 1).alias("lost"))
-    g = g.where("lost").withColumn("x", F.col("parity").bitwiseXOR(F.col("others")))
-    return g.groupBy("doc_id").agg(F.count("*").alias("repaired"), F.sum(F.col("x") * (F.col("place") + 65)).alias("weighted"))
+    d = _payload(spark, folder).select("doc_id", bytemaps.second_sector("data").alias("x")).where("x.repaired > 0")
+    return d.select("doc_id", "x.repaired", "x.weighted")
 
 
 @CATALOG.add("w15_delta_decode", f"SELECT doc_id, sum(v * (i + 1))::BIGINT AS weighted, count(*) AS n FROM (SELECT doc_id, i, ((-sum(x) OVER (PARTITION BY doc_id, i % 3 ORDER BY i)) % 256 + 256) % 256 AS v FROM (SELECT doc_id, unnest({_B}) AS x, unnest(range(octet_length(encode(text)))) AS i FROM documents)) GROUP BY doc_id")
 def w15(spark, folder):
     """Three channels of running differences modulo 256, summed up as they are decoded."""
-    d = _payload(spark, folder).select("doc_id", F.posexplode(B.byte_values(F.col("data"))).alias("i", "x"))
-    v = F.pmod(-F.sum("x").over(Window.partitionBy("doc_id", F.col("i") % 3).orderBy("i")), F.lit(256))
-    return d.select("doc_id", "i", v.alias("v")).groupBy("doc_id").agg(F.sum(F.col("v") * (F.col("i") + 1)).alias("weighted"), F.count("*").alias("n"))
+    return _payload(spark, folder).select("doc_id", bytemaps.delta_sums(True)("data").alias("x")).where("x.n > 0").select("doc_id", "x.weighted", "x.n")
 
 
 @CATALOG.add("w16_delta_encode", f"SELECT doc_id, sum(v * (i + 1))::BIGINT AS weighted, count(*) AS n FROM (SELECT doc_id, i, ((coalesce(lag(x) OVER (PARTITION BY doc_id, i % 3 ORDER BY i), 0) - x) % 256 + 256) % 256 AS v FROM (SELECT doc_id, unnest({_B}) AS x, unnest(range(octet_length(encode(text)))) AS i FROM documents)) GROUP BY doc_id")
 def w16(spark, folder):
-    d = _payload(spark, folder).select("doc_id", F.posexplode(B.byte_values(F.col("data"))).alias("i", "x"))
-    before = F.lag("x").over(Window.partitionBy("doc_id", F.col("i") % 3).orderBy("i"))
-    return d.select("doc_id", "i", F.pmod(F.coalesce(before, F.lit(0)) - F.col("x"), F.lit(256)).alias("v")).groupBy("doc_id").agg(F.sum(F.col("v") * (F.col("i") + 1)).alias("weighted"), F.count("*").alias("n"))
+    """Three channels of differences to the byte before, modulo 256."""
+    return _payload(spark, folder).select("doc_id", bytemaps.delta_sums(False)("data").alias("x")).where("x.n > 0").select("doc_id", "x.weighted", "x.n")
 
 
 @CATALOG.add("c21_delta_filter", "SELECT doc_id, sha256(text) AS digest FROM documents")

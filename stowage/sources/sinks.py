@@ -1,12 +1,16 @@
 """Members to files: staged, verified, then renamed into place, with a report row for each.
 
 The folder must be one that all executors share (a mounted path). A payload is written under a staging folder,
-checked, and renamed, so readers see whole files only; a retried task writes the same file again.
+checked, and linked or renamed into place, so readers see whole files only. The staged file stays until
+`drop_staging`: by it, a retried task knows the files that its first attempt put in place. A file that was there
+before stays with 'never', is replaced with 'always', and with 'rename' the new one gets a free number.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -28,13 +32,43 @@ def plan_targets(members: DataFrame, policy: str = "never", flat: bool = False)
     text = relative_path(F.decode("name", "UTF-8"), backslash=True)
     m = members.withColumn("target", flat_name(text) if flat else text)
     order = F.col("member_index").desc() if policy == "always" and not flat else F.col("member_index")
-    m = m.withColumn("claim", F.row_number().over(Window.partitionBy("target").orderBy("path" if not (policy == "always" and not flat) else F.desc("path"), order)))
+    m = m.withColumn("claim", F.row_number().over(Window.partitionBy("target", F.when(F.col("target").isNull(), F.xxhash64("path", "member_index"))).orderBy("path" if not (policy == "always" and not flat) else F.desc("path"), order)))
     first = F.col("claim") == 1
     if policy == "rename" and not flat:
         return m.withColumn("target", F.when(first, F.col("target")).otherwise(numbered(F.col("target"), F.col("claim") - 1))).drop("claim")
     return m.withColumn("target", F.when(first, F.col("target"))).drop("claim")
 
 
+def publish(payload: bytes, root: str, staging: str, path: str, target: str, policy: str) -> str | None:
+    """Puts a payload in place under its target or, with 'rename', a numbered one; the target, or None if it is taken."""
+    os.makedirs(staging, exist_ok=True)
+    part = os.path.join(staging, hashlib.sha256(f"{path}\0{target}".encode("utf-8", "surrogateescape")).hexdigest())
+    if not os.path.exists(part):
+        own = f"{part}.{uuid.uuid4().hex}"
+        with open(own, "wb") as f:
+            f.write(payload)
+        os.replace(own, part)
+    for k in range(1 << 16):
+        stem, dot, end = target.rpartition(".")
+        name = target if not k else f"{stem}({k}).{end}" if dot and "/" not in end else f"{target}({k})"
+        final = os.path.join(root, name)
+        os.makedirs(os.path.dirname(final), exist_ok=True)
+        try:
+            os.link(part, final)
+            return name
+        except FileExistsError:
+            if os.path.samefile(part, final) if os.path.exists(final) else False:
+                return name  # an earlier attempt of this task
+            if policy == "always":
+                again = f"{part}.{uuid.uuid4().hex}"
+                os.link(part, again)
+                os.replace(again, final)
+                return name
+            if policy == "never":
+                return None
+    raise OSError(f"no free number for {target}")
+
+
 def extract_to(members: DataFrame, folder: str, policy: str = "never") -> DataFrame:
     """Report of writing members (path, target, payload, payload_ok) under a folder: written, refused, damaged, exists or unsafe.
 
@@ -56,23 +90,16 @@ def extract_to(members: DataFrame, folder: str, policy: str = "never") -> DataFr
                     rows.append((path, target, "unsafe", 0))  # an existing link leads outside
                 elif not ok:
                     rows.append((path, target, "damaged", 0))
-                elif policy == "never" and os.path.lexists(final):
-                    rows.append((path, target, "exists", 0))
                 else:
-                    os.makedirs(staging, exist_ok=True)
-                    part = os.path.join(staging, uuid.uuid4().hex)
-                    with open(part, "wb") as f:
-                        f.write(payload)
-                    os.makedirs(os.path.dirname(final), exist_ok=True)
-                    os.replace(part, final)
-                    rows.append((path, target, "written", len(payload)))
+                    got = publish(payload, root, staging, path, target, policy)
+                    rows.append((path, got or target, "written" if got else "exists", len(payload) if got else 0))
             yield pd.DataFrame(rows, columns=["path", "target", "status", "bytes"])
 
     return members.select("path", "target", "payload", "payload_ok").mapInPandas(write, REPORT)
 
 
 def drop_staging(folder: str) -> None:
-    """Removes empty staging folders after the report was read."""
+    """Removes staging folders after the report was read."""
     for name in os.listdir(folder):
-        if name.startswith(".staging-") and not os.listdir(os.path.join(folder, name)):
-            os.rmdir(os.path.join(folder, name))
+        if name.startswith(".staging-"):
+            shutil.rmtree(os.path.join(folder, name))

@@ -25,6 +25,12 @@ def test_extract(spark, tmp_path):
     assert sorted(r.status for r in sinks.extract_to(sinks.plan_targets(m), out).collect())[1] == "exists"
     sinks.extract_to(sinks.plan_targets(m, "always"), out, "always").collect()
     assert open(f"{out}/a/x.txt", "rb").read() == b"two"
+    with open(f"{out}/b/y", "w") as f:
+        f.write("mine")
+    report = sinks.extract_to(sinks.plan_targets(m, "rename").where("member_index = 3"), out, "rename")
+    assert [(r.target, r.status) for r in report.collect()] == [("b/y(1)", "written")] and open(f"{out}/b/y").read() == "mine"
+    first = sinks.extract_to(sinks.plan_targets(m).where("member_index = 3").withColumn("target", F.lit("new/z")), out)
+    assert [r.status for r in first.collect()] == [r.status for r in first.collect()] == ["written"]  # a retried task
     targets = [r.target for r in sinks.plan_targets(m, "rename").orderBy("member_index").collect()]
     assert targets[:2] == ["a/x.txt", "a/x(1).txt"] and targets[2] is None
     assert [r.target for r in sinks.plan_targets(m, flat=True).orderBy("member_index").collect()] == ["x.txt", None, None, "y", "bad"]
