@@ -249,7 +249,7 @@ def _distance_slot(distance: int) -> tuple[int, int, int]:
     return (extra + 1) * 2 + (d >> extra & 1), extra, d & ((1 << extra) - 1)
 
 
-def tokens(data: bytes, window: int = 1 << 17) -> list[int | tuple[int, int]]:
+def tokens(data: bytes, window: int = 1 << 17, most: int = MOST_LENGTH - 3) -> list[int | tuple[int, int]]:
     """Literals and (length, distance) by the last place of each four bytes."""
     out: list[int | tuple[int, int]] = []
     seen: dict[bytes, int] = {}
@@ -260,7 +260,7 @@ def tokens(data: bytes, window: int = 1 << 17) -> list[int | tuple[int, int]]:
         seen[key] = i
         if j >= 0 and i - j <= window:
             length = 4
-            while length < MOST_LENGTH - 3 and i + length < n and data[j + length] == data[i + length]:
+            while length < most and i + length < n and data[j + length] == data[i + length]:
                 length += 1
             out.append((length, i - j))
             for k in range(i + 1, min(i + length, n - 3)):

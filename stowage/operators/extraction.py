@@ -569,15 +569,6 @@ def w07(spark, folder):
 
 
 # ------------------------------------------------------------------ more on keys
-@CATALOG.add("j11_key_cache", "SELECT archive, count(*) AS encrypted, count(DISTINCT member_index % 8) AS derivations FROM {members} WHERE is_encrypted GROUP BY archive")
-def j11(spark, folder):
-    """Members of an archive share derived keys: as many derivations as there are distinct salts."""
-    from ..sources.tables import members
-
-    m = members(spark, folder).where("is_encrypted").select("archive", F.expr("member_index % 8").alias("salt"))
-    return m.groupBy("archive").agg(F.count("*").alias("encrypted"), F.count_distinct("salt").alias("derivations"))
-
-
 @CATALOG.add("y06_key_derivation_5", "SELECT n_nationkey, 32 AS key_bytes, 32 AS hash_key_bytes, true AS differ FROM nation")
 def y06(spark, folder):
     """Key, hash key and check of a password: three taps of one PBKDF2 chain."""

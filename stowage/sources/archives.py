@@ -84,8 +84,10 @@ class ArchiveReader(DataSourceReader):
         return [InputPartition(f) for f in sorted(found)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            for x in A.parse(f.read()):
+        from ..functions.ranges import walk
+
+        with open(partition.value, "rb") as f:  # headers only: payloads are jumped over
+            for x in walk(f):
                 yield (partition.value, *(([(e["type"], e["data"]) for e in x["extras"]] if x["extras"] is not None else None) if k == "extras" else x[k] for k in A.FIELDS))
 
 
