@@ -3,36 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import checkpoint_dir, cut
+
 _MASK = (1 << 64) - 1
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
 # ------------------------------------------------------------------ checkpoints
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if found is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), "stowage-checkpoints"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the lineage ends here and survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Like cut() for wider rows: a compressed Parquet table in the shared folder."""
     spark = df.sparkSession
