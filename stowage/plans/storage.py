@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the shared one, as a path of mounted files, for sinks that write through the file system; removed when the driver ends."""
+    root = checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise RuntimeError("sinks to files need a mounted shared folder, not " + root)
+    path = os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    atexit.register(shutil.rmtree, path, True)
+    return path
