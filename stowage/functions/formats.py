@@ -167,22 +167,63 @@ def parse50(data: bytes, at: int) -> Iterator[dict]:
 
 
 # ------------------------------------------------------------------ formats 1.5 to 4.x
-def block15(kind: int, flags: int, body: bytes) -> bytes:
+def block15(kind: int, flags: int, body: bytes, checked: int | None = None) -> bytes:
+    """The check value covers the first `checked` bytes, or all."""
     h = struct.pack("<BHH", kind, flags, len(body) + 7) + body
-    return struct.pack("<H", zlib.crc32(h) & 0xFFFF) + h
+    return struct.pack("<H", zlib.crc32(h[: None if checked is None else checked - 2]) & 0xFFFF) + h
 
 
-def write15(members: list[dict], main_flags: int = 0, end_flags: int = 0, number: int | None = None) -> bytes:
-    out = [MARK15, block15(0x73, main_flags, bytes(6))]
+def comment15(text: bytes, packed: bytes | None = None, version: int = 15) -> bytes:
+    """A comment block as it stands inside a main or file header: stored, or `packed` by the codec of a version."""
+    body = packed if packed is not None else text
+    return block15(0x75, 0, struct.pack("<HBBH", len(text), version, 0x33 if packed is not None else 0x30, zlib.crc32(text) & 0xFFFF) + body, 13)
+
+
+def nested15(header: bytes, at: int) -> dict | None:
+    """unpacked, version, method, check, data and header_ok of the comment block at a place in a header; None where there is none that fits."""
+    if at + 13 > len(header):
+        return None
+    crc, kind, _, size, unpacked, version, method, check = struct.unpack_from("<HBHHHBBH", header, at)
+    if kind != 0x75 or size < 13 or at + size > len(header):
+        return None
+    return {"unpacked": unpacked, "version": version, "method": method - 0x30, "check": check, "data": header[at + 13 : at + size], "header_ok": zlib.crc32(header[at + 2 : at + 13]) & 0xFFFF == crc}
+
+
+def write15(members: list[dict], main_flags: int = 0, end_flags: int = 0, number: int | None = None, comment: bytes | None = None) -> bytes:
+    """`comment`, and `comment` of a member, are comment blocks to stand inside the headers; a header's check value leaves them out."""
+    out = [MARK15, block15(0x73, main_flags | (2 if comment else 0), bytes(6) + (comment or b""), 13 if comment else None)]
     for m in members:
         data = m.get("payload") or b""
-        flags = 0x8000 | (1 if m.get("split_before") else 0) | (2 if m.get("split_after") else 0) | (0xE0 if m.get("directory") else 0)
+        flags = 0x8000 | (1 if m.get("split_before") else 0) | (2 if m.get("split_after") else 0) | (8 if m.get("comment") else 0) | (0xE0 if m.get("directory") else 0)
         body = struct.pack("<IIBIIBBHI", len(data), m.get("unpacked", len(data)), m.get("host", 3), m.get("crc", zlib.crc32(data)), m.get("time", 0), 29, 0x30, len(m["name"]), m.get("attr", 0o100644)) + m["name"]
-        out += [block15(0x74, flags, body), data]
+        nested = m.get("comment") or b""
+        out += [block15(0x74, flags, body + nested, len(body) + 7 if nested else None), data]
     out.append(block15(0x7B, end_flags | (8 if number is not None else 0), struct.pack("<H", number) if number is not None else b""))
     return b"".join(out)
 
 
+def named15(header: bytes) -> int:
+    """Where a file header's fixed fields, name and salt end."""
+    flags, length = struct.unpack_from("<H", header, 3)[0], struct.unpack_from("<H", header, 26)[0]
+    return min(len(header), 32 + (8 if flags & 0x100 else 0) + length + (8 if flags & 0x400 else 0))
+
+
+def comments15(data: bytes) -> Iterator[tuple[int | None, dict]]:
+    """(member's number, comment block) of the comments inside headers; the container's own has no number."""
+    found = find_signature(data)
+    if found is None or found[0] != "1.5-4":
+        return
+    n = 0
+    for x in parse15(data, found[1] + found[2]):
+        if x["kind"] not in ("main", "file"):
+            continue
+        h = data[x["offset"] : x["data_offset"]]
+        main = x["kind"] == "main"
+        if x["flags"] & (2 if main else 8) and (c := nested15(h, 13 if main else named15(h))) is not None:
+            yield None if main else n, c
+        n += not main
+
+
 def parse15(data: bytes, at: int) -> Iterator[dict]:
     """An end block is optional here: versions before 3 wrote none."""
     n = 0
@@ -199,7 +240,12 @@ def parse15(data: bytes, at: int) -> Iterator[dict]:
             return
         h = data[at : at + size]
         packed = struct.unpack_from("<I", h, 7)[0] if flags & 0x8000 and size >= 11 else 0
-        ok = kind == 0x72 or zlib.crc32(h[2:]) & 0xFFFF == crc
+        covered = size  # a comment inside a header is left out of its check value
+        if kind == 0x73 and flags & 2:
+            covered = 13
+        elif kind == 0x74 and flags & 8 and size >= 32:
+            covered = named15(h)
+        ok = kind == 0x72 or zlib.crc32(h[2:covered]) & 0xFFFF == crc
         x = row(family="1.5-4", block=n, kind=TYPES15.get(kind, "unknown"), header_ok=ok, flags=flags, offset=start, data_offset=at + size, packed=packed, extras=[])
         try:
             if kind in (0x74, 0x7A):

@@ -1,4 +1,4 @@
-"""Containers of format 5+ with encrypted headers: written, probed for a password, and walked.
+"""Containers with encrypted headers: written, probed for a password, and walked. First format 5+, then format 3.
 
 After the signature comes one open header with the salt, the rounds and the password's check; every later header
 follows its own initial vector, filled up to whole blocks. Payloads lie between them as they are.
@@ -10,10 +10,11 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from . import formats as A
 from .aes import Cbc
-from .ciphers import check_record, keys50, verdict
+from .ciphers import check_record, keys30, keys50, verdict
 
 KIND = 4  # fixed value: the type of the open header
 
@@ -102,3 +103,64 @@ def walk(data: bytes, password: bytes) -> Iterator[dict]:
         if x["kind"] == "end":
             return
     yield A.row(family="5+", block=n, kind="cut", header_ok=False, offset=at, error="no end block")
+
+
+# ------------------------------------------------------------------ format 3
+# The main header is open and says by a flag that all later headers are encrypted, each behind its own salt.
+FLAG15 = 0x80  # fixed value
+
+
+@lru_cache(64)
+def _cipher30(password: bytes, salt: bytes) -> tuple[Cbc, bytes]:
+    """Writers keep one salt for a container, so that a derivation serves all its headers."""
+    key, iv = keys30(password, salt)
+    return Cbc(key), iv
+
+
+def seal15(data: bytes, password: bytes, salt: bytes) -> bytes:
+    """An open container of formats 3 with its headers behind the main one encrypted under a salt of eight bytes."""
+    cipher, iv = _cipher30(password, salt)
+    out = [A.MARK15]
+    for x in A.parse15(data, len(A.MARK15)):
+        header = data[x["offset"] : x["data_offset"]]
+        if x["kind"] == "main":
+            out.append(A.block15(0x73, x["flags"] | FLAG15, header[7:]))
+        else:
+            out += [salt, cipher.encrypt(header.ljust(-(-len(header) // 16) * 16, b"\0"), iv), data[x["data_offset"] : x["data_offset"] + x["packed"]]]
+    return b"".join(out)
+
+
+def walk15(data: bytes, password: bytes) -> Iterator[dict]:
+    """The blocks of a container of format 3, with the columns of the open walk; a header that the password does not open ends the walk.
+
+    An end block is optional, as in the open walk.
+    """
+    at, n = len(A.MARK15), 0
+    main = next(A.parse15(data, at)) if data.startswith(A.MARK15) else None
+    if main is None or main["kind"] != "main" or not main["flags"] & FLAG15:
+        yield from A.parse(data)
+        return
+    yield main
+    at, n = main["data_offset"], 1
+    while at < len(data):
+        start = at
+        if at + 24 > len(data):
+            yield A.row(family="1.5-4", block=n, kind="cut", header_ok=False, offset=start, error="header is cut short")
+            return
+        cipher, iv = _cipher30(password, data[at : at + 8])
+        first = cipher.decrypt(data[at + 8 : at + 24], iv)
+        size = struct.unpack_from("<H", first, 5)[0]
+        behind = at + 8 + -(-size // 16) * 16
+        error = "the password is wrong or the header is damaged" if size < 7 else "header is cut short" if behind > len(data) else None
+        x = None
+        if error is None:
+            head = (first + cipher.decrypt(data[at + 24 : behind], data[at + 8 : at + 24]))[:size]
+            x = next(A.parse15(head, 0))
+            error = None if x["header_ok"] else "the password is wrong or the header is damaged"
+        if error is not None:
+            yield A.row(family="1.5-4", block=n, kind="cut", header_ok=False, offset=start, error=error)
+            return
+        yield x | {"block": n, "offset": start, "data_offset": behind, "error": "payload is cut short" if behind + x["packed"] > len(data) else None}
+        at, n = behind + x["packed"], n + 1
+        if x["kind"] == "end":
+            return

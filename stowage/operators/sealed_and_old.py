@@ -98,12 +98,12 @@ def _sealed(spark, folder: str, with_check: bool = True) -> DataFrame:
     return _containers(spark, folder, "5+").select("path", seal("path", "content").alias("content"))
 
 
-def read_sealed(containers: DataFrame, password: bytes) -> DataFrame:
+def read_sealed(containers: DataFrame, password: bytes, walk=sealed.walk) -> DataFrame:
     """path and the walk's columns kind, name, packed, header_ok for each block of sealed containers; a key is derived once for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p.as_py(), x["kind"], x["name"], x["packed"], x["header_ok"]) for p, c in zip(batch.column("path"), batch.column("content"), strict=True) for x in sealed.walk(c.as_py() or b"", password)]
+            rows = [(p.as_py(), x["kind"], x["name"], x["packed"], x["header_ok"]) for p, c in zip(batch.column("path"), batch.column("content"), strict=True) for x in walk(c.as_py() or b"", password)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], ["path", "kind", "name", "packed", "header_ok"])
 
@@ -116,6 +116,18 @@ def s15(spark, folder):
     return b.groupBy(F.col("path").alias("archive"), "kind").agg(F.count("*").alias("blocks"), F.bool_and("header_ok").alias("headers_ok"))
 
 
+@CATALOG.add("s16_encrypted_headers_3", _walk_sql(True))
+def s16(spark, folder):
+    """Every header of format 3 behind its salt: the containers share four salts, and a worker derives a key once for each."""
+
+    @F.pandas_udf("binary")
+    def seal(path: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series([sealed.seal15(bytes(c), b"password", (zlib.crc32(p.encode()) % 4).to_bytes(8, "little")) for p, c in zip(path, content, strict=True)])
+
+    c = _containers(spark, folder, "1.5-4").select("path", seal("path", "content").alias("content"))
+    return read_sealed(c, b"password", sealed.walk15).groupBy(F.col("path").alias("archive"), "kind").agg(F.count("*").alias("blocks"), F.bool_and("header_ok").alias("headers_ok"))
+
+
 @CATALOG.add("y11_header_password", "SELECT 'a' || doc_id // 64 AS archive, 'correct' AS right_one, 'wrong' AS other FROM documents GROUP BY 1")
 def y11(spark, folder):
     """Without a stored check, the first header is decrypted for trial and its check value decides."""

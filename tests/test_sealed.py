@@ -25,3 +25,14 @@ def test_sealed_containers():
         assert [x["kind"] for x in sealed.walk(s, b"guess")] == ["cut"]
         assert list(sealed.walk(s[:-4], b"right"))[-1]["kind"] == "cut"
     assert sealed.probe(data) is None and sealed.matches(data, b"x") == "undetermined"
+
+
+def test_sealed_format_3():
+    data = A.write15([{"name": f"f{k}".encode() * (k + 1), "payload": b"x" * k} for k in range(5)])
+    s = sealed.seal15(data, b"right", bytes(range(8)))
+    open_, found = list(A.parse(data)), list(sealed.walk15(s, b"right"))
+    assert [(x["kind"], x["name"], x["packed"], x["header_ok"]) for x in found] == [(x["kind"], x["name"], x["packed"], x["header_ok"]) for x in open_]
+    assert all(A.payload_ok(x, s[x["data_offset"] : x["data_offset"] + x["packed"]]) for x in found if x["kind"] == "file")
+    assert [x["kind"] for x in sealed.walk15(s, b"guess")] == ["main", "cut"]
+    assert list(sealed.walk15(s[:-4], b"right"))[-1]["kind"] == "cut"
+    assert list(sealed.walk15(data, b"any")) == open_
