@@ -69,11 +69,39 @@ def publish(payload: bytes, root: str, staging: str, path: str, target: str, pol
     raise OSError(f"no free number for {target}")
 
 
-def extract_to(members: DataFrame, folder: str, policy: str = "never") -> DataFrame:
+def safe_join(root: str, relative: str) -> str | None:
+    """The place of a relative path under a real root; None where it leaves the root or goes through a link that is there."""
+    final = os.path.normpath(os.path.join(root, relative))
+    if final == root or not final.startswith(root + os.sep):
+        return None
+    at = os.path.dirname(final)
+    while at != root:
+        if os.path.islink(at):
+            return None
+        at = os.path.dirname(at)
+    return final
+
+
+def write_in_place(payload: bytes, final: str, policy: str) -> bool:
+    """Straight into the file: what was written stays if the task is lost, and a retry starts it anew. False if it is there and stays."""
+    os.makedirs(os.path.dirname(final), exist_ok=True)
+    if policy == "never" and os.path.lexists(final):
+        return False
+    if os.path.islink(final):
+        os.unlink(final)
+    with open(final, "wb") as f:
+        f.write(payload)
+    return True
+
+
+def extract_to(members: DataFrame, folder: str, policy: str = "never", in_place: bool = False) -> DataFrame:
     """Report of writing members (path, target, payload, payload_ok) under a folder: written, refused, damaged, exists or unsafe.
 
-    Nothing is written until an action runs on the report.
+    Nothing is written until an action runs on the report. `in_place` leaves out staging ('never' and 'always' only): damaged
+    payloads are written as far as they go and reported so, and with 'never' a retried task reports its own files as there.
     """
+    if in_place and policy == "rename":
+        raise ValueError("numbers need staging")
     run_id = uuid.uuid4().hex
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,9 +113,12 @@ def extract_to(members: DataFrame, folder: str, policy: str = "never") -> DataFr
                 if target is None:
                     rows.append((path, None, "refused", 0))
                     continue
-                final = os.path.join(root, target)
-                if os.path.commonpath([root, os.path.realpath(os.path.dirname(final))]) != root:
-                    rows.append((path, target, "unsafe", 0))  # an existing link leads outside
+                final = safe_join(root, target)
+                if final is None:
+                    rows.append((path, target, "unsafe", 0))
+                elif in_place:
+                    done = write_in_place(payload, final, policy)
+                    rows.append((path, target, "exists" if not done else "written" if ok else "damaged", len(payload) if done else 0))
                 elif not ok:
                     rows.append((path, target, "damaged", 0))
                 else:
@@ -98,6 +129,118 @@ def extract_to(members: DataFrame, folder: str, policy: str = "never") -> DataFr
     return members.select("path", "target", "payload", "payload_ok").mapInPandas(write, REPORT)
 
 
+def extract_with(members: DataFrame, opener) -> DataFrame:
+    """Every member (path, member_index, name, payload, payload_ok) through a caller's writer, in archive order within a path:
+    `opener(path, member_index, name)` gives an object with write and close, or None to skip. One report row a member.
+
+    `opener` runs on executors. A path is written by one task; a retry writes it again from its first member.
+    """
+    step = 1 << 16
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, index, name, payload, ok in zip(pdf.path, pdf.member_index, pdf.name, pdf.payload, pdf.payload_ok, strict=True):
+                if not ok:
+                    rows.append((path, index, "damaged", 0))
+                elif (out := opener(path, int(index), bytes(name))) is None:
+                    rows.append((path, index, "skipped", 0))
+                else:
+                    data = bytes(payload)
+                    for at in range(0, len(data), step):
+                        out.write(data[at : at + step])
+                    out.close()
+                    rows.append((path, index, "written", len(data)))
+            yield pd.DataFrame(rows, columns=["path", "member_index", "status", "bytes"])
+
+    ordered = members.select("path", "member_index", "name", "payload", "payload_ok").repartition("path").sortWithinPartitions("path", "member_index")
+    return ordered.mapInPandas(write, "path string, member_index long, status string, bytes long")
+
+
+LINKS = ("symlink", "hard link", "copy")
+
+
+def make_link(root: str, target: str, kind: str, to: str, policy: str = "never") -> str:
+    """A symlink, hard link or copy under a root: written, exists, unsafe (a place or an end outside the root) or missing (nothing to link or copy).
+
+    The end of a symlink is relative to the link's folder, that of the others to the root. A link of a retried task counts as written.
+    """
+    final = safe_join(root, target)
+    end = None if os.path.isabs(to) else safe_join(root, os.path.join(os.path.dirname(target), to) if kind == "symlink" else to)
+    if final is None or end is None or kind not in LINKS:
+        return "unsafe"
+    if kind != "symlink" and (os.path.islink(end) or not os.path.isfile(end)):
+        return "missing"
+    os.makedirs(os.path.dirname(final), exist_ok=True)
+    if os.path.lexists(final) and policy == "never":
+        ours = os.readlink(final) == to if os.path.islink(final) and kind == "symlink" else kind == "hard link" and not os.path.islink(final) and os.path.samefile(final, end)
+        return "written" if ours else "exists"
+    own = f"{final}.{uuid.uuid4().hex}"
+    if kind == "symlink":
+        os.symlink(to, own)
+    elif kind == "hard link":
+        os.link(end, own)
+    else:
+        shutil.copyfile(end, own)
+    os.replace(own, final)
+    if os.path.lexists(own):  # both names were one file already
+        os.unlink(own)
+    return "written"
+
+
+def links_to(links: DataFrame, folder: str, policy: str = "never") -> DataFrame:
+    """Report (path, target, status) of making links (path, target, kind, link_target) under a folder whose files are there."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root = os.path.realpath(folder)
+        for pdf in batches:
+            rows = [(p, t, "refused" if t is None or to is None else make_link(root, t, k, to, policy)) for p, t, k, to in zip(pdf.path, pdf.target, pdf.kind, pdf.link_target, strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "target", "status"])
+
+    return links.select("path", "target", "kind", "link_target").mapInPandas(write, "path string, target string, status string")
+
+
+class VolumeFolder:
+    """Where volumes go: `expect` is told how many a set has, then `write` gets each in order; here, whole files of a shared folder."""
+
+    def __init__(self, folder: str, pattern: str = "{set_id}.part{number}.rar") -> None:
+        self.folder, self.pattern, self.count = folder, pattern, 1
+
+    def expect(self, set_id, volumes: int) -> None:
+        self.count = volumes
+
+    def place(self, set_id, index: int) -> str:
+        return os.path.join(self.folder, self.pattern.format(set_id=set_id, number=str(index + 1).zfill(len(str(self.count)))))
+
+    def write(self, set_id, index: int, content: bytes) -> None:
+        final = self.place(set_id, index)
+        own = f"{final}.{uuid.uuid4().hex}"
+        with open(own, "wb") as f:
+            f.write(content)
+        os.replace(own, final)
+
+
+def volumes_to(volumes: DataFrame, sink: VolumeFolder) -> DataFrame:
+    """Report (set_id, volume, bytes) of giving volumes (set_id, volume, content) to a sink, in order within a set."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for set_id, volume, count, content in zip(pdf.set_id, pdf.volume, pdf["count"], pdf.content, strict=True):
+                sink.expect(set_id, int(count))
+                sink.write(set_id, int(volume), bytes(content))
+            yield pd.DataFrame({"set_id": pdf.set_id, "volume": pdf.volume, "bytes": [len(c) for c in pdf.content]})
+
+    counted = volumes.repartition("set_id").withColumn("count", F.count("*").over(Window.partitionBy("set_id")))
+    ordered = counted.select("set_id", "volume", "count", "content").sortWithinPartitions("set_id", "volume")
+    return ordered.mapInPandas(write, "set_id long, volume int, bytes long")
+
+
+def containers_to(containers: DataFrame, folder: str, policy: str = "never") -> DataFrame:
+    """Report (path, target, status, bytes) of publishing containers (archive, content) as whole files under a folder."""
+    m = containers.select(F.col("archive").alias("path"), F.concat("archive", F.lit(".rar")).alias("target"), F.col("content").alias("payload"), F.lit(True).alias("payload_ok"))
+    return extract_to(m, folder, policy)
+
+
 def drop_staging(folder: str) -> None:
     """Removes staging folders after the report was read."""
     for name in os.listdir(folder):

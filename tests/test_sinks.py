@@ -48,3 +48,28 @@ def test_bundles_and_pictures():
         assert X.itanium_decode(X.itanium_encode(data, 160), 160) == data
         for width in (3, 12, 48):
             assert X.rgb_decode(X.rgb_encode(data, width, 1), width, 1) == data
+
+
+def test_links_and_places(tmp_path):
+    root = os.path.realpath(tmp_path / "root")
+    os.makedirs(f"{root}/d")
+    with open(f"{root}/d/f", "w") as f:
+        f.write("text")
+    assert sinks.safe_join(root, "d/f") == f"{root}/d/f" and sinks.safe_join(root, "../x") is None and sinks.safe_join(root, ".") is None
+    assert sinks.make_link(root, "l/s", "symlink", "../d/f") == sinks.make_link(root, "l/s", "symlink", "../d/f") == "written"
+    assert sinks.make_link(root, "l/h", "hard link", "d/f") == sinks.make_link(root, "l/h", "hard link", "d/f") == "written"
+    assert sinks.make_link(root, "l/c", "copy", "d/f") == "written" and sinks.make_link(root, "l/c", "copy", "d/f") == "exists"
+    assert all(open(f"{root}/l/{k}").read() == "text" for k in "shc")
+    assert sinks.make_link(root, "l/x", "symlink", "/etc/passwd") == sinks.make_link(root, "l/x", "symlink", "../../up") == sinks.make_link(root, "../x", "copy", "d/f") == "unsafe"
+    assert sinks.make_link(root, "l/x", "copy", "d/none") == "missing"
+    assert sinks.make_link(root, "l/h", "hard link", "d/f", "always") == "written" and sorted(os.listdir(f"{root}/l")) == ["c", "h", "s"]
+    os.symlink("d", f"{root}/to")
+    assert sinks.safe_join(root, "to/new") is None and sinks.make_link(root, "to/new", "copy", "d/f") == "unsafe"
+
+
+def test_in_place(spark, tmp_path):
+    out = str(tmp_path)
+    m = spark.createDataFrame([("p", "a", b"one", True), ("p", "b", b"tw", False)], "path string, target string, payload binary, payload_ok boolean")
+    assert sorted(r.status for r in sinks.extract_to(m, out, "always", in_place=True).collect()) == ["damaged", "written"]
+    assert open(f"{out}/b").read() == "tw"
+    assert sorted(r.status for r in sinks.extract_to(m, out, "never", in_place=True).collect()) == ["exists", "exists"]
