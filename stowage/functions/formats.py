@@ -74,10 +74,10 @@ def extra50(kind: int, data: bytes) -> bytes:
     return vint(len(body)) + body
 
 
-def write50(members: list[dict], volume: int | None = None, more: bool = False, solid: bool = False, comment: bytes | None = None) -> bytes:
-    """A container of stored members: name, payload and optionally mtime, attr, host, directory, hash, link (type, flags, target), version, split_before, split_after, unpacked, crc."""
-    flags = (1 if volume is not None else 0) | (2 if volume else 0) | (4 if solid else 0)
-    out = [MARK50, block50(1, 0, vint(flags) + (vint(volume) if volume else b""))]
+def write50(members: list[dict], volume: int | None = None, more: bool = False, solid: bool = False, comment: bytes | None = None, locked: bool = False, metadata: bytes | None = None) -> bytes:
+    """A container of stored members: name, payload and optionally mtime, attr, host, directory, hash, link (type, flags, target), version, encryption (its record), split_before, split_after, unpacked, crc."""
+    flags = (1 if volume is not None else 0) | (2 if volume else 0) | (4 if solid else 0) | (16 if locked else 0)
+    out = [MARK50, block50(1, 0, vint(flags) + (vint(volume) if volume else b""), extra50(2, metadata) if metadata else b"")]
     if comment is not None:
         body = vint(4) + vint(len(comment)) + vint(0) + struct.pack("<I", zlib.crc32(comment)) + vint(0) + vint(0) + vint(3) + b"CMT"
         out.append(block50(3, 0, body, data=comment))
@@ -87,7 +87,7 @@ def write50(members: list[dict], volume: int | None = None, more: bool = False,
         file_flags = (1 if directory else 0) | (2 if mtime is not None else 0) | (0 if directory else 4)
         crc = b"" if directory else struct.pack("<I", m.get("crc", zlib.crc32(data)))
         body = vint(file_flags) + vint(m.get("unpacked", len(data))) + vint(m.get("attr", 0o100644)) + (struct.pack("<I", mtime) if mtime is not None else b"") + crc + vint(0) + vint(m.get("host", 1)) + vint(len(m["name"])) + m["name"]
-        extra = b""
+        extra = extra50(1, m["encryption"]) if m.get("encryption") else b""
         if m.get("hash"):
             extra += extra50(2, vint(0) + m["hash"])
         if m.get("version"):
