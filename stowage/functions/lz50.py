@@ -8,8 +8,9 @@ design; it aims at correct round trips, not at another packer's bytes.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator, Sequence
 
-from .filters import arm_decode, delta_decode, x86_decode
+from .filters import arm_decode, arm_encode, delta_decode, delta_encode, x86_decode, x86_encode
 
 # Fixed values of the format: sizes of the code tables and of the code that stores their lengths
 LITERALS, DISTANCES, LOWS, LENGTHS, CODES = 306, 64, 16, 44, 20
@@ -272,24 +273,125 @@ def tokens(data: bytes, window: int = 1 << 17, most: int = MOST_LENGTH - 3) -> l
     return out
 
 
-def encode(data: bytes, matches: bool = True) -> bytes:
-    """One last block with its tables; with matches=False, literals only."""
-    stream: list[tuple[int, int, int, int]] = []  # (table, symbol, extra bits, their value); table -1: bits alone
-    for t in tokens(data) if matches else data:
+Token = int | tuple[int, int]
+FILTERED = {0: lambda b, c, at: delta_encode(b, c), 1: lambda b, c, at: x86_encode(b, at), 2: lambda b, c, at: x86_encode(b, at, True), 3: lambda b, c, at: arm_encode(b, at)}
+
+
+def _symbols(ts: Iterable[Token]) -> Iterator[tuple[int, int, int, int]]:
+    """(table, symbol, extra bits, their value)."""
+    for t in ts:
         if isinstance(t, int):
-            stream.append((0, t, 0, 0))
+            yield 0, t, 0, 0
             continue
         length, distance = t
         slot, extra, value = _slot_of(length - (distance > 0x100) - (distance > 0x2000) - (distance > 0x40000))
-        stream.append((0, MATCH + slot, extra, value))
+        yield 0, MATCH + slot, extra, value
         slot, extra, value = _distance_slot(distance)
         if extra < 4:
-            stream.append((1, slot, extra, value))
+            yield 1, slot, extra, value
         else:
-            stream += [(1, slot, extra - 4, value >> 4), (2, value & 15, 0, 0)]
+            yield 1, slot, extra - 4, value >> 4
+            yield 2, value & 15, 0, 0
+
+
+def _number(value: int) -> Iterator[tuple[int, int, int, int]]:
+    n = max(1, (value.bit_length() + 7) // 8)
+    yield -1, 0, 2, n - 1
+    for byte in value.to_bytes(n, "little"):
+        yield -1, 0, 8, byte
+
+
+def _filter_symbols(begin: int, length: int, kind: int, channels: int) -> Iterator[tuple[int, int, int, int]]:
+    """A filter's record; table -1 stands for bits alone."""
+    yield 0, FILTER, 0, 0
+    yield from _number(begin)
+    yield from _number(length)
+    yield -1, 0, 3, kind
+    if kind == 0:
+        yield -1, 0, 5, channels - 1
+
+
+def encode(data: bytes, matches: bool = True, filters: Sequence[tuple[int, int, int, int]] = ()) -> bytes:
+    """One last block with its tables; with matches=False, literals only. `filters` (begin, length, kind, channels) must not overlap;
+    their parts are filtered first, and their records stand at the front."""
+    plain = bytearray(data)
+    for begin, length, kind, channels in filters:
+        plain[begin : begin + length] = FILTERED[kind](bytes(data[begin : begin + length]), channels, begin)
+    records = [x for f in filters for x in _filter_symbols(*f)]
+    return _block(records + list(_symbols(tokens(bytes(plain)) if matches else plain)), True)
+
+
+def encode_blocks(data: bytes, size: int) -> Iterator[bytes]:
+    """Blocks of about `size` plain bytes, each with its own tables, one at a time: matches reach over blocks."""
+    part: list[Token] = []
+    n = 0
+    for t in tokens(data):
+        part.append(t)
+        n += 1 if isinstance(t, int) else t[0]
+        if n >= size:
+            yield _block(list(_symbols(part)), False)
+            part, n = [], 0
+    yield _block(list(_symbols(part)), True)
+
+
+def price_tables(ts: Iterable[Token]) -> list[list[int]]:
+    """Code lengths that fit the tokens; symbols that do not occur cost the most."""
     counts = [[0] * n for n in TABLES]
-    for table, s, _, _ in stream:
+    for table, s, _, _ in _symbols(ts):
         counts[table][s] += 1
+    return [[n or 15 for n in code_lengths(c)] if any(c) else [15] * len(c) for c in counts]
+
+
+def price(t: Token, tables: list[list[int]]) -> int:
+    return sum(tables[k][s] + extra for k, s, extra, _ in _symbols((t,)))
+
+
+def refined(data: bytes, passes: int = 2, each: int = 32) -> list[Token]:
+    """Tokens that cost the fewest bits under the code lengths of the pass before, the first of them from the greedy parse; the
+    cheapest pass is kept. Lengths up to `each` are all tried, longer matches as they are."""
+    from .matches import Tree
+
+    best = ts = tokens(data)
+    found = [m for m in Tree(data).all()]
+    cheapest = None
+    for _ in range(passes):
+        tables = price_tables(ts)
+        now = sum(price(t, tables) for t in ts)
+        if cheapest is None:
+            cheapest = now
+        cost = [0, *([1 << 60] * len(data))]
+        step: list[Token] = [0] * (len(data) + 1)
+        for i, byte in enumerate(data):
+            if (c := cost[i] + tables[0][byte]) < cost[i + 1]:
+                cost[i + 1], step[i + 1] = c, byte
+            shorter = 3
+            for length, distance in found[i]:
+                length = min(length, MOST_LENGTH - 3)
+                for n in {*range(shorter + 1, min(length, each) + 1), length}:
+                    if (c := cost[i] + price((n, distance), tables)) < cost[i + n]:
+                        cost[i + n], step[i + n] = c, (n, distance)
+                shorter = length
+        ts, i = [], len(data)
+        while i:
+            ts.append(step[i])
+            i -= 1 if isinstance(step[i], int) else step[i][0]
+        ts.reverse()
+        fresh = price_tables(ts)
+        if (now := sum(price(t, fresh) for t in ts)) < cheapest:
+            best, cheapest = ts, now
+    return best
+
+
+def encode_refined(data: bytes, passes: int = 2) -> bytes:
+    """The smaller of the greedy and the refined parse, tables included."""
+    return min(_block(list(_symbols(refined(data, passes))), True), encode(data), key=len)
+
+
+def _block(stream: list[tuple[int, int, int, int]], last: bool) -> bytes:
+    counts = [[0] * n for n in TABLES]
+    for table, s, _, _ in stream:
+        if table >= 0:
+            counts[table][s] += 1
     lengths = [code_lengths(c) for c in counts]
     flat = [n for x in lengths for n in x]
     packed: list[tuple[int, int, int]] = []
@@ -314,13 +416,13 @@ def encode(data: bytes, matches: bool = True) -> bytes:
         out.append(f"{c:0{n}b}" + (f"{value:0{extra}b}" if extra else ""))
     all_codes = [codes(x) for x in lengths]
     for k, s, extra, value in stream:
-        c, n = all_codes[k][s]
-        out.append(f"{c:0{n}b}" + (f"{value:0{extra}b}" if extra else ""))
+        c, n = all_codes[k][s] if k >= 0 else (0, 0)
+        out.append((f"{c:0{n}b}" if n else "") + (f"{value:0{extra}b}" if extra else ""))
     bits = "".join(out)
     size = (len(bits) + 7) // 8
     body = int(bits.ljust(size * 8, "0"), 2).to_bytes(size, "big")
     n = 1 if size < 256 else 2 if size < 65536 else 3
-    flags = 0xC0 | n - 1 << 3 | (len(bits) - 1) % 8
+    flags = (0xC0 if last else 0x80) | n - 1 << 3 | (len(bits) - 1) % 8
     head = size.to_bytes(n, "little")
     check = 0x5A ^ flags
     for b in head:
