@@ -80,13 +80,13 @@ def matches(data: bytes, password: bytes, keys: dict | None = None) -> str:
     return "correct" if zlib.crc32(head[4:]) == struct.unpack_from("<I", head)[0] else "wrong"
 
 
-def walk(data: bytes, password: bytes) -> Iterator[dict]:
-    """The blocks of a sealed container, with the columns of the open walk; the key is derived once."""
+def walk(data: bytes, password: bytes, keys: dict | None = None) -> Iterator[dict]:
+    """The blocks of a sealed container, with the columns of the open walk; the key is derived once, or given."""
     p = probe(data)
     if p is None:
         yield from A.parse(data)
         return
-    keys = keys50(password, p["salt"], p["log_rounds"])
+    keys = keys or keys50(password, p["salt"], p["log_rounds"])
     if verdict(keys["check"], p["check"]) == "wrong":
         yield A.row(family="5+", block=0, kind="cut", header_ok=False, offset=p["end"], error="the password is wrong")
         return

@@ -12,7 +12,7 @@ import hashlib
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -157,6 +157,37 @@ def extract_with(members: DataFrame, opener) -> DataFrame:
     return ordered.mapInPandas(write, "path string, member_index long, status string, bytes long")
 
 
+def selected_by(members: DataFrame, decide: Callable[[dict], bool], columns: list[str]) -> DataFrame:
+    """Members for which a caller's function of the named columns is true. A condition on columns is the better way where there is one."""
+
+    @F.pandas_udf("boolean")
+    def chosen(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([bool(decide(r)) for r in x.to_dict("records")], dtype=bool)
+
+    return members.where(chosen(F.struct(*columns)))
+
+
+def on_error(members: DataFrame, handler: Callable[[str, int, str], str]) -> DataFrame:
+    """Members (path, member_index, code) without those refused: for each with a code, a caller's function says 'skip' (it is left out) or 'stop'
+    (and so are all that follow in its container). The function is asked once for each refused member, in any order."""
+
+    @F.pandas_udf("string")
+    def ask(path: pd.Series, index: pd.Series, code: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else handler(p, int(i), c) for p, i, c in zip(path, index, code, strict=True)], dtype=object)
+
+    m = members.withColumn("_said", ask("path", "member_index", "code"))
+    ends = m.where("_said = 'stop'").groupBy("path").agg(F.min("member_index").alias("_end"))
+    return m.where("code is null").join(ends, "path", "left").where("_end is null or member_index < _end").drop("_said", "_end")
+
+
+def progress(members: DataFrame) -> DataFrame:
+    """Members with `completed` (bytes of their container up to them) and `total`."""
+    from ..operators.running import running
+
+    totals = members.groupBy("path").agg(F.sum("packed").alias("total"))
+    return running(members, ["path"], "member_index", {"completed": F.col("packed")}).join(totals, "path")
+
+
 LINKS = ("symlink", "hard link", "copy")
 
 
