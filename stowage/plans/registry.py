@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("volumes", "naming", "ordering", "times", "arithmetic", "listing", "joins", "aggregates", "sets", "rewrite", "payloads", "archives", "extraction", "sealed_and_old", "repairs", "comments", "outputs", "building", "encoding")
+MODULES = ("volumes", "naming", "ordering", "times", "arithmetic", "listing", "joins", "aggregates", "sets", "rewrite", "payloads", "archives", "extraction", "sealed_and_old", "repairs", "comments", "outputs", "building", "encoding", "feeds")
 
 
 def _gathered(name: str) -> dict:

@@ -67,3 +67,41 @@ def progress_windows(events: DataFrame, late: str = "10 minutes", width: str = "
     from pyspark.sql import functions as F
 
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("completed"))
+
+
+PIECES = "set_id long, volume long, piece binary, is_last boolean"
+WHOLE = "set_id long, volumes long, payload binary"
+
+
+def walk_split(held: dict[int, bytes], last: int | None, pieces: list[tuple[int, bytes, bool]]) -> tuple[bytes | None, dict[int, bytes], int | None]:
+    """The payload of a member cut over volumes 0 to `last`, once all are there, and what is held until then. A volume that comes again is kept once."""
+    held = dict(held)
+    for volume, piece, is_last in pieces:
+        held.setdefault(volume, piece)
+        last = volume if is_last else last
+    if last is not None and all(v in held for v in range(last + 1)):
+        return b"".join(held[v] for v in range(last + 1)), {}, None
+    return None, held, last
+
+
+def join_stream(pieces: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+    """Streaming rows of PIECES to rows of WHOLE: pieces may come in any order, and a member is emitted with its last one. The state of a set that
+    stays incomplete is given up when nothing came for `timeout_ms`."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        numbers, parts, last = state.get if state.exists else ([], [], None)
+        seen = [(v, bytes(p), e) for pdf in batches for v, p, e in zip(pdf.volume.tolist(), pdf.piece, pdf.is_last.tolist(), strict=True)]
+        end = next((v for v, _, is_last in seen if is_last), last)
+        payload, held, last = walk_split(dict(zip(numbers, map(bytes, parts), strict=True)), last, seen)
+        if payload is None:
+            state.update((list(held), list(held.values()), last))
+            state.setTimeoutDuration(timeout_ms)
+            return
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"set_id": [key[0]], "volumes": [end + 1], "payload": [payload]})
+
+    return pieces.groupBy("set_id").applyInPandasWithState(step, WHOLE, "numbers array<long>, parts array<binary>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -22,3 +22,12 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def folder():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def only_data_batches(spark):
+    """Timeouts of keyed state ask for batches without data for ever; a stream that is to end runs without them."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)

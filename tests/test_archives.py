@@ -115,7 +115,7 @@ def test_facade_and_source(spark, tmp_path):
     assert rows.where("kind = 'file'").count() == 6 and zlib.crc32(MEMBERS[2]["payload"]) in [r.check_value for r in rows.collect()]
 
 
-def test_volume_stream(spark, tmp_path):
+def test_volume_stream(spark, tmp_path, only_data_batches):
     r = random.Random(3)
     rows = []
     for s in range(12):
@@ -126,7 +126,7 @@ def test_volume_stream(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(V.INPUT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = V.fold_stream(stream).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     got = {(x.set_id, x.first_volume, x.last_volume, x.packed_size) for x in spark.table("folded").where("status = 'complete'").collect()}
     want = set()
     for s in {x[0] for x in rows}:
