@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,11 @@ _PRIME = 0x9E3779B97F4A7C15 | 1
 # ------------------------------------------------------------------ checkpoints
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Like cut() for wider rows: a compressed Parquet table in the shared folder."""
+    return kept(df, label)[0]
+
+
+def kept(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Like stored(), with the function that removes the table before the driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -31,7 +38,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
             pass
 
     atexit.register(drop)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), drop
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, the shuffle files of a query are removed when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

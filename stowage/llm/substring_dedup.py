@@ -29,19 +29,19 @@ doc_id counts as the largest; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _POWERS, bounded, byte_table, prefix_hash, span_hash, splitmix, stored, text_bytes
+from .common import _POWERS, bounded, byte_table, kept, prefix_hash, shuffles_removed, span_hash, splitmix, text_bytes
 from .grouping import suffix_array
 
 LENGTH, PIECE, RUN = 100, 20, 16
 SPAN = LENGTH - PIECE + 1  # places of an anchor in a window
-BITS = 26  # of the bitmap of contexts: 2**26 bits are 8 MB
+LEAST_BITS, MOST_BITS = 26, 30  # of a bitmap of contexts: 2**26 bits are 8 MB, 2**30 are 128 MB
 HOT = 2000  # runs of one core that are resolved in one task
 _VALUES = byte_table(lower=False)
 _LAST = (1 << 63) - 1
@@ -119,19 +119,28 @@ def context_counts(texts: DataFrame) -> DataFrame:
     return every.where("all > 1").select("anchor", "content", "doc", "n", "contents")
 
 
-def _bits(bit: Column, keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2**BITS bits with the low bits of a hash."""
-    low = bit.bitwiseAND((1 << BITS) - 1)
-    rows = keys.select(F.shiftright(low, 15).alias("part"), low.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    found = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in rows.toLocalIterator():  # at most 2**BITS bits
+def _bits(hashed: Column, keys: DataFrame) -> np.ndarray:
+    """A bitmap with two bits for each hash, of 16 bits a hash at least while MOST_BITS allow: so few others pass, however many hashes there are."""
+    size = 1 << min(max(LEAST_BITS, (16 * keys.count() - 1).bit_length()), MOST_BITS)
+    both = F.array(hashed.bitwiseAND(size - 1), F.shiftrightunsigned(hashed, 33).bitwiseAND(size - 1))
+    bit = keys.select(F.explode(both).alias("bit"))
+    rows = bit.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits"))
+    found = np.zeros(size // 8, np.uint8)
+    for r in rows.toLocalIterator():  # at most 2**MOST_BITS bits
         found[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return found
 
 
 def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    k = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    return (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+    last = np.uint64(len(bits) * 8 - 1)
+
+    def one(x: np.ndarray) -> np.ndarray:
+        k = (x & last).astype(np.int64)
+        return (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+
+    hit = one(h)
+    hit[hit] = one(h[hit] >> np.uint64(33))
+    return hit
 
 
 def _again(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -158,7 +167,7 @@ def _runs(p: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[n
 
 
 def occurrences(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """kind 0: contexts that may repeat (key: anchor); kind 1: runs of windows of the first contexts whose anchor has several contents (key: core), with their strings. again: equal to an earlier one of the same text."""
+    """kind 0: contexts that may repeat (key: anchor); kind 1: runs of windows of the first contexts whose anchor has several contents (key: core), with their strings. again: equal to an earlier one of the same text, which needs no string."""
     spark = texts.sparkSession
     both = F.col("anchor").bitwiseXOR(F.col("content"))
     repeated = spark.sparkContext.broadcast(_bits(both, counts.where("n > 1")))
@@ -182,7 +191,7 @@ def occurrences(texts: DataFrame, counts: DataFrame) -> DataFrame:
                     n = len(base)
                     held.append((np.ones(n, np.int32), core, whole, np.full(n, doc), np.full(n, tag), _again(core, whole), w0, w1))
                     raw, skip = data.tobytes(), LENGTH - RUN + 1
-                    strings += [bytes((x - i,)) + raw[i:x] + raw[x + skip : j + LENGTH] for x, i, j in zip(base.tolist(), w0.tolist(), w1.tolist(), strict=True)]
+                    strings += [None if y else bytes((x - i,)) + raw[i:x] + raw[x + skip : j + LENGTH] for x, i, j, y in zip(base.tolist(), w0.tolist(), w1.tolist(), held[-1][5].tolist(), strict=True)]
             if held:
                 kind, key, content, doc, tag, again, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(again), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(strings, pa.binary())], schema=_ARROW)
@@ -222,14 +231,17 @@ def equal_windows(runs: list[tuple[int, bytes]]) -> list[np.ndarray]:
     return [np.stack([own[g], at[g]], 1) for g in np.split(order, edge) if len(g) > 1]
 
 
-def repeated_windows(runs: DataFrame) -> DataFrame:
-    """doc, tag, first, last: windows of runs (key, content, doc, tag, again, first, last, string) that also start earlier."""
-    equal = runs.groupBy("key", "content").agg(F.min("doc").alias("least"))
-    cores = runs.groupBy("key").agg(F.count("*").alias("held"), F.count_distinct("content").alias("kinds")).where("held > 1")
-    runs = runs.join(cores, "key").join(equal, ["key", "content"])
-    runs = stored(runs, "substring-runs")
-    whole = runs.where("doc > least or again").select("doc", "tag", "first", "last")
-    runs = runs.where("kinds > 1 and doc = least and not again").select(F.col("key").alias("core"), "doc", "tag", "first", "string", F.col("kinds").alias("held"))
+def repeated_windows(runs: DataFrame, drops: list[Callable[[], None]]) -> DataFrame:
+    """doc, tag, first, last: windows of runs (key, content, doc, tag, first, last, string; none of them again) that also start earlier. drops: gets what removes the tables behind them."""
+    equal, drop = kept(runs.groupBy("key", "content").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "substring-equal")
+    cores = equal.groupBy("key").agg(F.sum("n").alias("held"), F.count("*").alias("kinds")).where("held > 1").select("key", "kinds")
+    equal, drop_shared = kept(equal.drop("n").join(cores, "key"), "substring-shared")
+    drop()
+    runs, drop = kept(runs.join(equal, ["key", "content"]), "substring-runs")
+    drop_shared()
+    drops.append(drop)
+    whole = runs.where("doc > least").select("doc", "tag", "first", "last")
+    runs = runs.where("kinds > 1 and doc = least").select(F.col("key").alias("core"), "doc", "tag", "first", "string", F.col("kinds").alias("held"))
 
     def resolve(held: list[tuple]) -> pa.RecordBatch:
         """held: (core, doc, tag, first, string), whole cores."""
@@ -270,7 +282,8 @@ def repeated_windows(runs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "doc", "tag", "at"])
 
-    many = stored(runs.where(f"held > {HOT}").select(names).mapInArrow(single, "key long, doc long, tag long, at int"), "substring-hot")
+    many, drop = kept(runs.where(f"held > {HOT}").select(names).mapInArrow(single, "key long, doc long, tag long, at int"), "substring-hot")
+    drops.append(drop)
     least = many.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
     again = many.join(least, "key")
     stays = again.where("doc = least").groupBy("key", "tag").agg(F.min("at").alias("stays"))
@@ -280,13 +293,26 @@ def repeated_windows(runs: DataFrame) -> DataFrame:
 
 def removed_ranges(texts: DataFrame) -> DataFrame:
     """doc_id, tag, ranges (first and last windows to remove) of texts (doc_id, tag, text) that lose any; the tag tells rows of one doc_id with different texts apart."""
-    counts = stored(context_counts(texts), "substring-counts")
-    found = stored(occurrences(texts, counts), "substring-occurrences")
-    least = counts.where("n > 1").select(F.col("anchor").alias("key"), "content", F.col("doc").alias("least"))
-    whole = found.where("kind = 0").select("key", "content", "doc", "tag", "again", "first", "last").join(least, ["key", "content"])
-    whole = whole.where("doc > least or again").select("doc", "tag", "first", "last")
-    ranges = whole.union(repeated_windows(found.where("kind = 1").drop("kind")))
-    return ranges.groupBy(F.col("doc").alias("doc_id"), "tag").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"))  # of one document
+    drops: list[Callable[[], None]] = []
+
+    def table(df: DataFrame, label: str) -> DataFrame:
+        out, drop = kept(df, label)
+        drops.append(drop)
+        return out
+
+    with shuffles_removed(texts.sparkSession):
+        counts = table(context_counts(texts), "substring-counts")
+        found = table(occurrences(texts, counts), "substring-occurrences")
+        places = ["doc", "tag", "first", "last"]
+        least = counts.where("n > 1").select(F.col("anchor").alias("key"), "content", F.col("doc").alias("least"))
+        again, found = found.where("again").select(places), found.where("not again").drop("again")
+        whole = found.where("kind = 0").select("key", "content", *places).join(least, ["key", "content"]).where("doc > least").select(places)
+        ranges = again.union(whole).union(repeated_windows(found.where("kind = 1").drop("kind"), drops))
+        ranges = ranges.groupBy(F.col("doc").alias("doc_id"), "tag").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"))  # of one document
+        ranges, _ = kept(ranges, "substring-ranges")
+        for drop in drops:
+            drop()
+    return ranges
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Corpus operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.llm import decontaminate, embedding_dedup, html_extract, language_id, mixing, ngram_join, pii, quality, secret_scan, substring_dedup
 from stowage.llm.common import components
@@ -128,6 +131,25 @@ def test_substring_dedup(spark, seed):
     assert substring_dedup.dedup(table(spark, [])).count() == 0
 
 
+def test_substring_bitmap_of_many_contexts(spark):
+    """Of other hashes, few pass, though the hashes are many for a bitmap of the least size."""
+    bits = substring_dedup._bits(F.xxhash64("id"), spark.range(6_000_000))
+    mine, others = (np.array([r.h for r in spark.range(a, a + 20_000).select(F.xxhash64("id").alias("h")).collect()]).view(np.uint64) for a in (0, 1 << 40))
+    assert substring_dedup._hit(bits, mine).all()
+    assert substring_dedup._hit(bits, others).mean() < 0.02
+
+
+def test_substring_tables_removed(spark):
+    """Of the tables between the steps, only the ranges stay for the result."""
+    from stowage.plans.storage import checkpoint_dir
+
+    root = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    assert substring_dedup.dedup(table(spark, ROWS)).count() == len(ROWS)
+    left = set(os.listdir(root)) - before
+    assert {x.rpartition("-")[0] for x in left if x.startswith("substring-")} == {"substring-ranges"}
+
+
 def test_substring_hot_core(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", 3)
     rows = [(k, prose(5, k) + " " + BASE[:300] + " " + prose(5, 100 + k), "en", "a") for k in range(30)]
