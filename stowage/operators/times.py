@@ -64,19 +64,20 @@ def d07(spark, folder):
     return read(spark, folder, "orders").select("o_orderkey", F.year(t).alias("year"), F.month(t).alias("month"), F.day(t).alias("day"), F.hour(t).alias("hour"), F.minute(t).alias("minute"), F.second(t).alias("second"))
 
 
-_NS = "(o_orderkey - 7000) * 1234567891011"
+_KEY = "CAST(o_orderkey AS DECIMAL(20,0))"  # products of it may exceed 64 bits
+_NS = f"CAST(({_KEY} - 7000) * CAST(1234567891011 AS DECIMAL(13,0)) AS DECIMAL(38,0))"
 
 
 @CATALOG.add("d10_split_nanoseconds", "SELECT o_orderkey, ((ns - r) // 1000000000)::BIGINT AS seconds, r::BIGINT AS nanoseconds FROM (SELECT o_orderkey, ns, ((ns % 1000000000) + 1000000000) % 1000000000 AS r FROM (SELECT o_orderkey, ((o_orderkey - 7000) * 1234567891011)::HUGEINT AS ns FROM orders))")
 def d10(spark, folder):
-    o = read(spark, folder, "orders").select("o_orderkey", T.split_ns(F.expr(_NS).cast("decimal(38,0)")).alias("x"))
+    o = read(spark, folder, "orders").select("o_orderkey", T.split_ns(F.expr(_NS)).alias("x"))
     return o.select("o_orderkey", "x.*")
 
 
 @CATALOG.add("d11_time_record_choice", "SELECT o_orderkey, CASE WHEN least(a, b, c) >= 0 AND greatest(a, b, c) // 1000000000 <= 4294967295 THEN 'unix' WHEN a % 100 = 0 AND b % 100 = 0 AND c % 100 = 0 THEN 'ticks' ELSE 'refused' END AS form FROM (SELECT o_orderkey, ((o_orderkey - 7000) * 1234567891011)::HUGEINT AS a, (o_orderkey * 1000000007)::HUGEINT AS b, (o_orderkey * 100)::HUGEINT AS c FROM orders)")
 def d11(spark, folder):
     """Unix form where all times fit unsigned seconds; else ticks, which need a precision of 100 ns."""
-    o = read(spark, folder, "orders").selectExpr("o_orderkey", f"CAST({_NS} AS DECIMAL(38,0)) AS a", "CAST(o_orderkey * 1000000007 AS DECIMAL(38,0)) AS b", "CAST(o_orderkey * 100 AS DECIMAL(38,0)) AS c")
+    o = read(spark, folder, "orders").selectExpr("o_orderkey", f"{_NS} AS a", f"CAST({_KEY} * 1000000007 AS DECIMAL(38,0)) AS b", f"CAST({_KEY} * 100 AS DECIMAL(38,0)) AS c")
     return o.selectExpr("o_orderkey", "CASE WHEN least(a, b, c) >= 0 AND greatest(a, b, c) < CAST(4294967296000000000 AS DECIMAL(38,0)) THEN 'unix' WHEN a % 100 = 0 AND b % 100 = 0 AND c % 100 = 0 THEN 'ticks' ELSE 'refused' END AS form")
 
 
