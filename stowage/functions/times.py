@@ -56,5 +56,6 @@ def format_ticks(ticks: Column) -> Column:
 
 def split_ns(ns: Column) -> Column:
     """seconds and a remainder that is never negative."""
-    s = F.floor(ns / F.lit(1000000000).cast(_DEC)).cast("long")
-    return F.struct(s.alias("seconds"), (ns - s.cast(_DEC) * 1000000000).cast("long").alias("nanoseconds"))
+    second = F.lit(1000000000).cast(_DEC)
+    r = F.pmod(ns, second)  # first: a quotient of decimals is rounded to six digits, and may round up to the next second
+    return F.struct(((ns - r) / second).cast("long").alias("seconds"), r.cast("long").alias("nanoseconds"))

@@ -23,3 +23,15 @@ def test_record_choice_beyond_64_bits(spark, orders):
         return "refused" if any(t % 100 for t in times) else "ticks"
 
     assert {r.o_orderkey: r.form for r in QUERIES["d11_time_record_choice"](spark, orders).collect()} == {k: form(k) for k in KEYS}
+
+
+def test_split_nanoseconds_beyond_64_bits(spark, orders):
+    want = {k: divmod((k - 7000) * 1234567891011, 10**9) for k in KEYS}
+    assert {r.o_orderkey: (r.seconds, r.nanoseconds) for r in QUERIES["d10_split_nanoseconds"](spark, orders).collect()} == want
+
+
+def test_split_nanoseconds_just_before_a_second(spark):
+    """A remainder that six digits of a quotient would round up."""
+    ns = [10**9 - 28, -28, 1152409866999999972, -(10**18) - 1, 0]
+    df = spark.createDataFrame([(str(x),) for x in ns], "ns string").select("ns", T.split_ns(F.col("ns").cast("decimal(38,0)")).alias("x"))
+    assert {int(r.ns): (r.x.seconds, r.x.nanoseconds) for r in df.collect()} == {x: divmod(x, 10**9) for x in ns}
