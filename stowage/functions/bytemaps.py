@@ -67,14 +67,20 @@ def _second_sector(x: np.ndarray) -> dict:
 
 
 def tagged_repairs(x: np.ndarray) -> int:
-    """Sectors carry a tag of 16 check bits; the second one is damaged, told by its tag and rebuilt from its slot. The number of sectors that match their tag again."""
+    """Sectors carry a tag of 16 check bits; the second one is damaged, told by its tag and rebuilt from its slot. The number of sectors that match their tag again.
+
+    One damage in 65,536 keeps the tag. It shows in the check of the whole payload: then the slot whose parity does not hold
+    is searched for the sector that, rebuilt, makes the payload match.
+    """
     rows = sectors(x)
     tag = [zlib.crc32(r.tobytes()) & 0xFFFF for r in rows]
-    parity, seen = parities(rows), rows.copy()
+    parity, seen, whole = parities(rows), rows.copy(), zlib.crc32(rows.tobytes())
     if len(rows) > 1:
         seen[1] = 0
         seen[1, 0] = 255
     bad = [i for i, r in enumerate(seen) if zlib.crc32(r.tobytes()) & 0xFFFF != tag[i]]
+    if not bad and zlib.crc32(seen.tobytes()) != whole:
+        bad = untagged(seen, parity, whole)
     fixed = 0
     for i in bad:
         own = [j for j in range(i % SLOTS, len(rows), SLOTS) if j not in bad]
@@ -83,6 +89,19 @@ def tagged_repairs(x: np.ndarray) -> int:
     return fixed
 
 
+def untagged(seen: np.ndarray, parity: np.ndarray, whole: int) -> list[int]:
+    """The one sector whose rebuilt bytes give the payload its check back, though all tags hold; none if it can't be told."""
+    off = parities(seen) ^ parity
+    found = []
+    for i in range(len(seen)):
+        if off[i % SLOTS].any():
+            trial = seen.copy()
+            trial[i] ^= off[i % SLOTS]
+            if zlib.crc32(trial.tobytes()) == whole:
+                found.append(i)
+    return found if len(found) == 1 else []
+
+
 def delta_sums(decode: bool, channels: int = 3):
     """weighted (values by their places) and n of a payload's interleaved delta channels, decoded or encoded."""
 
